@@ -17,6 +17,12 @@ def op3_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from prismgraph.llm.topk import topk_search
+
+    return topk_search(spark, _docs(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op6_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -38,9 +44,19 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(spark, f"{sf_dir}/documents.parquet")
 
 
-QUERIES = {"op3_shard": op3_shard, "op6_pack": op6_pack, "op7_mix": op7_mix, "op8_exact_dedup": op8_exact_dedup}
+QUERIES = {"op3_shard": op3_shard, "op4_topk": op4_topk, "op6_pack": op6_pack, "op7_mix": op7_mix, "op8_exact_dedup": op8_exact_dedup}
 
 ORACLE = {
+    "op4_topk": """
+        with v as (select vec_id, [floor(64 * x::double)::bigint for x in embedding] as e from embeddings
+                   where embedding is not null and len(embedding) > 0
+                     and len([x for x in embedding if x is null or not isfinite(x)]) = 0),
+        c as (select q.vec_id as query_id, v.vec_id as vec_id, q.e as a, v.e as b from v as q, v
+              where q.vec_id % 20 = 0 and q.vec_id <> v.vec_id and len(q.e) = len(v.e)),
+        s as (select query_id, vec_id, list_sum([a[i] * b[i] for i in range(1, len(a) + 1)])::bigint as score from c),
+        r as (select query_id, vec_id, score, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from s)
+        select query_id, rank, vec_id, score from r where rank <= 20
+    """,
     "op8_exact_dedup": """
         with n as (select doc_id, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', ' ', 'g') as norm from documents)
         select doc_id, min(doc_id) over (partition by norm) as keep_id, count(*) over (partition by norm) as group_size,
