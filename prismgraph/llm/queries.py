@@ -44,7 +44,16 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(spark, f"{sf_dir}/documents.parquet")
 
 
-QUERIES = {"op3_shard": op3_shard, "op4_topk": op4_topk, "op6_pack": op6_pack, "op7_mix": op7_mix, "op8_exact_dedup": op8_exact_dedup}
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from prismgraph.llm.quality import held_out, score_quality, train
+
+    docs = _docs(spark, sf_dir)
+    model = train(docs, _docs(spark, sf_dir, "labels"), "quality", learn=~held_out(), sample=4096)
+    scored = score_quality(spark, docs, model, ["doc_id"])
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+QUERIES = {"op3_shard": op3_shard, "op4_topk": op4_topk, "op6_pack": op6_pack, "op7_mix": op7_mix, "op8_exact_dedup": op8_exact_dedup, "op10_quality": op10_quality}
 
 ORACLE = {
     "op4_topk": """
