@@ -10,6 +10,12 @@ def _docs(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFra
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from prismgraph.llm.near_dup import jaccard_join
+
+    return jaccard_join(spark, _docs(spark, sf_dir), threshold=0.8)
+
+
 def op3_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from prismgraph.llm.sharding import shard_documents
 
@@ -64,7 +70,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
-QUERIES = {"op3_shard": op3_shard, "op4_topk": op4_topk, "op5_chat": op5_chat, "op6_pack": op6_pack, "op7_mix": op7_mix, "op8_exact_dedup": op8_exact_dedup, "op10_quality": op10_quality}
+QUERIES = {"op1_jaccard_join": op1_jaccard_join, "op3_shard": op3_shard, "op4_topk": op4_topk, "op5_chat": op5_chat, "op6_pack": op6_pack, "op7_mix": op7_mix, "op8_exact_dedup": op8_exact_dedup, "op10_quality": op10_quality}
 
 ORACLE = {
     "op4_topk": """
