@@ -17,6 +17,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from prismgraph.llm.common import SPACE, Scratch, text_or_empty
 
@@ -69,7 +70,7 @@ def digest_state(
         query.awaitTermination()
     finally:
         spark.conf.set(PROVIDER, before) if before else spark.conf.unset(PROVIDER)
-    kept = spark.read.schema(seen.schema.add("epoch", "long")).option("basePath", f"{home}/state").parquet(f"{home}/state")
+    kept = spark.read.schema(T.StructType([*seen.schema.fields, T.StructField("epoch", T.LongType())])).option("basePath", f"{home}/state").parquet(f"{home}/state")
     if query.lastProgress is None or query.lastProgress["batchId"] == 0 and not checkpoint:
         return kept.drop("epoch")
     newest = kept.groupBy("digest").agg(F.max_by(F.struct("n", "keep"), "epoch").alias("s"))

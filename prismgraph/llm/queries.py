@@ -61,6 +61,12 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(spark, f"{sf_dir}/documents.parquet")
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from prismgraph.llm.line_dedup import dedup_lines
+
+    return dedup_lines(spark, _docs(spark, sf_dir).select("doc_id", "text"), min_words=5)
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from prismgraph.llm.quality import held_out, score_quality, train
 
@@ -70,7 +76,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
-QUERIES = {"op1_jaccard_join": op1_jaccard_join, "op3_shard": op3_shard, "op4_topk": op4_topk, "op5_chat": op5_chat, "op6_pack": op6_pack, "op7_mix": op7_mix, "op8_exact_dedup": op8_exact_dedup, "op10_quality": op10_quality}
+QUERIES = {"op1_jaccard_join": op1_jaccard_join, "op3_shard": op3_shard, "op4_topk": op4_topk, "op5_chat": op5_chat, "op6_pack": op6_pack, "op7_mix": op7_mix, "op8_exact_dedup": op8_exact_dedup, "op9_line_dedup": op9_line_dedup, "op10_quality": op10_quality}
 
 ORACLE = {
     "op4_topk": """
