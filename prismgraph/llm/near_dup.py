@@ -129,14 +129,14 @@ def set_key(s: np.ndarray) -> bytes | None:
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, text -> doc_id, node, signature."""
+    """doc_id, h, text -> doc_id, h, node, signature."""
     for b in batches:
-        for lo, hi, data, ends in _blocks(b.column(1)):
+        for lo, hi, data, ends in _blocks(b.column(2)):
             sets = shingles(data, ends)
             sig = signatures(sets)
             keys = pa.array([set_key(s) for s in sets], pa.binary())
             rows = pa.array([r.tobytes() if len(s) else None for r, s in zip(sig, sets)], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(0)[lo:hi], keys, rows], names=["doc_id", "node", "signature"])
+            yield pa.RecordBatch.from_arrays([b.column(0)[lo:hi], b.column(1)[lo:hi], keys, rows], names=["doc_id", "text_hash", "node", "signature"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,12 +248,12 @@ def _compare(threshold: float, tolerance: float):
 def jaccard_join(
     spark: SparkSession, docs: DataFrame, threshold: float = 0.8, tolerance: float = 1e-7, block: int = 256
 ) -> DataFrame:
-    """One row per document: doc_id, class_id (smallest doc_id of all that links connect), n_links (documents of similarity
+    """One row per document: doc_id, text_hash, class_id (smallest doc_id of all that links connect), n_links (documents of similarity
     threshold or more, copies included), n_copies (documents of the same set, itself included), copy_id (the smallest)."""
     scratch = Scratch(spark, "near")
     kind = docs.schema["doc_id"].dataType
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    signed = scratch.write(texts.mapInArrow(_sign, f"doc_id {kind.simpleString()}, node binary, signature binary"), "signed")
+    texts = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.coalesce("text", F.lit("")).alias("text"))
+    signed = scratch.write(texts.mapInArrow(_sign, f"doc_id {kind.simpleString()}, text_hash long, node binary, signature binary"), "signed")
     nodes = signed.filter("node is not null").groupBy("node").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("copy_id"), F.any_value("signature").alias("signature"))
     nodes = scratch.write(nodes, "nodes")
 
@@ -282,11 +282,32 @@ def jaccard_join(
     facts = facts.select("node", "copies", "copy_id", F.coalesce("root", "node").alias("root"), F.coalesce("links", F.lit(0)).alias("links"))
     classes = facts.groupBy("root").agg(F.min("copy_id").alias("class_id"))
     facts = scratch.write(facts.join(classes, "root").drop("root"), "facts")
-    out = signed.select("doc_id", "node").join(facts, "node", "left")
+    out = signed.select("doc_id", "text_hash", "node").join(facts, "node", "left")
     return out.select(
         "doc_id",
+        "text_hash",
         F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
         F.when(F.col("node").isNull(), F.lit(0)).otherwise(F.col("links") + F.col("copies") - 1).cast("long").alias("n_links"),
         F.coalesce("copies", F.lit(1)).cast("long").alias("n_copies"),
         F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("copy_id")).alias("copy_id"),
     )
+
+
+def keep_one_each(spark: SparkSession, docs: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """docs with one document of each class, that of the smallest doc_id. Of rows that repeat id and text one stays.
+
+    Documents that lack an id go where their class has one with an id, and stay where it has none."""
+    joined = Scratch(spark, "keep").write(jaccard_join(spark, docs, threshold), "joined")
+    keyed = docs.withColumn("_hash", F.xxhash64("text")).alias("d")
+
+    def matching(rows: DataFrame, how: str, left: DataFrame) -> DataFrame:
+        rows = F.broadcast(rows) if rows.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else rows
+        rows = rows.alias("r")
+        return left.join(rows, F.col("d.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("d._hash") == F.col("r.text_hash")), how)
+
+    gone = joined.filter(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select("doc_id", "text_hash").distinct()
+    out = matching(gone, "left_anti", keyed)
+    again = joined.groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 and doc_id is not null").drop("n")
+    if not again.isEmpty():
+        out = matching(again, "left_anti", out).unionByName(matching(again, "left_semi", out).dropDuplicates(["doc_id", "_hash"]))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -16,6 +16,17 @@ def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(spark, _docs(spark, sf_dir), threshold=0.8)
 
 
+def op2_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from prismgraph.llm.common import Scratch
+    from prismgraph.llm.training_order import materialise, read_slots
+
+    path = Scratch(spark, "order").path
+    manifest = materialise(spark, _docs(spark, sf_dir), path, public_tokenizers.path("byte_bpe_50k.json"), length=2048)
+    return read_slots(spark, path, manifest, length=2048)
+
+
 def op3_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from prismgraph.llm.sharding import shard_documents
 
@@ -76,7 +87,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
-QUERIES = {"op1_jaccard_join": op1_jaccard_join, "op3_shard": op3_shard, "op4_topk": op4_topk, "op5_chat": op5_chat, "op6_pack": op6_pack, "op7_mix": op7_mix, "op8_exact_dedup": op8_exact_dedup, "op9_line_dedup": op9_line_dedup, "op10_quality": op10_quality}
+QUERIES = {"op1_jaccard_join": op1_jaccard_join, "op2_training_order": op2_training_order, "op3_shard": op3_shard, "op4_topk": op4_topk, "op5_chat": op5_chat, "op6_pack": op6_pack, "op7_mix": op7_mix, "op8_exact_dedup": op8_exact_dedup, "op9_line_dedup": op9_line_dedup, "op10_quality": op10_quality}
 
 ORACLE = {
     "op4_topk": """
