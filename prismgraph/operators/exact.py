@@ -7,6 +7,7 @@ from collections import Counter
 from collections.abc import Sequence
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from prismgraph import wire
@@ -85,9 +86,12 @@ def verify(left: Labelled, right: Labelled, mapping: Sequence[int]) -> bool:
     return relabel(left, mapping) == (tuple(right[0]), tuple(sorted(tuple(x) for x in right[1])))
 
 
-@F.pandas_udf(OUTCOME)
-def exact_column(labels: pd.Series, edges: pd.Series) -> pd.DataFrame:
+def exact_column(labels: Column | str, edges: Column | str) -> Column:
     """canonicalise() for columns labels array<string> and edges array<struct<from, to, role>>, with the default budget."""
+    return F.pandas_udf(_exact, OUTCOME)(labels, edges)
+
+
+def _exact(labels: pd.Series, edges: pd.Series) -> pd.DataFrame:
     out = [canonicalise((list(a), [(x["from"], x["to"], x["role"]) for x in b])) for a, b in zip(labels, edges)]
     for o in out:
         o["edges"] = None if o["edges"] is None else [{"from": a, "to": b, "role": r} for a, b, r in o["edges"]]

@@ -22,8 +22,11 @@ DIGESTS = "mode string, policy_id binary, digests map<string,binary>, shape bina
 NODES_AT_ONCE = 20_000
 
 
-@F.pandas_udf("binary")
-def blake3_column(messages: pd.Series) -> pd.Series:
+def blake3_column(messages: Column) -> Column:
+    return F.pandas_udf(_blake3, "binary")(messages)
+
+
+def _blake3(messages: pd.Series) -> pd.Series:
     some = messages.notna()
     out = pd.Series([None] * len(messages), dtype=object)
     out[some.to_numpy()] = blake3_many([bytes(m) for m in messages[some]])
