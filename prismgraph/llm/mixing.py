@@ -18,7 +18,7 @@ import random
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -103,13 +103,15 @@ FLOWN = "doc_id {id}, size long, sid int, base int, pi double, block long, extra
 
 
 def _fly(seed: int, level: int, last: bool):
-    def fly(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["size", "doc_id", "pi"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
-        rng = random.Random(f"{seed}|{level}|{key[0]}|{key[1]}")
-        moved = flight(rows["pi"].tolist(), rows["size"].tolist(), rng, land=last)
-        rows["pi"] = moved
-        rows["extra"] = pd.array([int(x) if x in (0.0, 1.0) else None for x in moved], dtype="Int32")
-        return rows[["doc_id", "size", "sid", "base", "pi", "block", "extra"]]
+    order = [("size", "descending"), ("doc_id", "ascending"), ("pi", "ascending")]
+    names = ["doc_id", "size", "sid", "base", "pi", "block"]
+
+    def fly(key: tuple, rows: pa.Table) -> pa.Table:
+        rows = rows.select(names).sort_by(order)
+        rng = random.Random(f"{seed}|{level}|{key[0].as_py()}|{key[1].as_py()}")
+        moved = flight(rows["pi"].to_pylist(), rows["size"].to_pylist(), rng, land=last)
+        extra = pa.array([int(x) if x in (0.0, 1.0) else None for x in moved], pa.int32())
+        return rows.set_column(names.index("pi"), "pi", pa.array(moved, pa.float64())).append_column("extra", extra)
 
     return fly
 
@@ -150,7 +152,7 @@ def mix_sources(
     level, most = 0, max(blocks, default=1)
     while True:
         last = most == 1
-        flown = scratch.write(rows.groupBy("sid", "block").applyInPandas(_fly(seed, level, last), schema), f"level{level}")
+        flown = scratch.write(rows.groupBy("sid", "block").applyInArrow(_fly(seed, level, last), schema), f"level{level}")
         done = flown.filter(F.col("extra").isNotNull())
         decided = done if decided is None else decided.unionByName(done)
         if last:

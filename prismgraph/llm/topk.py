@@ -10,7 +10,7 @@ task passes them on from tree to tree.
 Defined results: vectors that are null, empty, or hold null or non-finite components take no part; only vectors of
 equal length are compared; a row doesn't answer a query of its own id; rows that repeat an id with other components are
 rows of their own, and queries that share an id share one list; ties go to the smaller id; with fewer than k candidates
-all are returned; an empty table, or one without queries, gives an empty result; other columns are ignored.
+all are returned; a score must fit a signed long; an empty table, or one without queries, gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -119,7 +119,7 @@ def _records(tokenizer: str, end_id: int, length: int, wide: bool, base, domain:
 
 
 def materialise(
-    spark: SparkSession, docs: DataFrame, path: str, tokenizer: str, length: int = 2048, end_id: int = 1, key: int = 2024, shard_text_bytes: int = 64 << 20, wide: bool = False
+    spark: SparkSession, docs: DataFrame, path: str, tokenizer: str, length: int = 2048, end_id: int = 1, key: int = 2024, shard_text_bytes: int = 32 << 20, wide: bool = False
 ) -> DataFrame:
     """Writes the shards under path and returns the manifest: shard, first_slot, records, stride, file."""
     texts = docs.select("text")
