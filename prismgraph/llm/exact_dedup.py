@@ -24,7 +24,8 @@ from prismgraph.llm.common import SPACE, Scratch, text_or_empty
 #: Hit keys of at most this many rows (of some 100 bytes) are broadcast to the scan; beyond it Spark shuffles.
 BROADCAST_HITS = 200_000
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+#: Settings of the stream. Without fallocate a store of few keys takes no more disk than it fills (else 4 MB each).
+STORE = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB, "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false"}
 
 
 def normalised(text: str = "text") -> Column:
@@ -63,13 +64,15 @@ def digest_state(
     def store(batch: DataFrame, epoch: int) -> None:
         batch.write.mode("overwrite").parquet(f"{home}/state/epoch={epoch}")
 
-    before = spark.conf.get(PROVIDER, None)
-    spark.conf.set(PROVIDER, ROCKSDB)
+    before = {k: spark.conf.get(k, None) for k in STORE}
+    for k, v in STORE.items():
+        spark.conf.set(k, v)
     try:
         query = seen.writeStream.outputMode("update").foreachBatch(store).option("checkpointLocation", f"{home}/stream").trigger(availableNow=True).start()
         query.awaitTermination()
     finally:
-        spark.conf.set(PROVIDER, before) if before else spark.conf.unset(PROVIDER)
+        for k, v in before.items():
+            spark.conf.set(k, v) if v else spark.conf.unset(k)
     kept = spark.read.schema(T.StructType([*seen.schema.fields, T.StructField("epoch", T.LongType())])).option("basePath", f"{home}/state").parquet(f"{home}/state")
     if query.lastProgress is None or query.lastProgress["batchId"] == 0 and not checkpoint:
         return kept.drop("epoch")
