@@ -23,6 +23,7 @@ from prismgraph.plans.view import apply_view, parse_view, reachable
 from prismgraph.scratch import Scratch
 from prismgraph.sources import producers as p
 
+UNITS_EACH = 20_000
 DIMENSIONS = {
     "trade.order/1": ("structure", "names", "constants"),
     "chat/1": ("structure", "names", "constants"),
@@ -40,8 +41,13 @@ def _orders(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _hashed(units: DataFrame, modes: tuple[str, ...] = ("shape",), dimensions: dict | None = None) -> DataFrame:
-    filed = units.withColumns({"artifact_id": F.concat("recipe", F.lit(":all")), "world": F.lit("tables"), "batch": F.lit("tables:all")})
-    return hash_units(filed, dimensions or DIMENSIONS, modes)
+    """Stored digests of units. Hashing costs far more than moving a graph, so units are dealt evenly first: to every core,
+    and to as many tasks as keep UNITS_EACH."""
+    spark = units.sparkSession
+    scratch = Scratch(spark, "hashed")
+    filed = scratch.write(units.withColumns({"artifact_id": F.concat("recipe", F.lit(":all")), "world": F.lit("tables"), "batch": F.lit("tables:all")}), "units")
+    tasks = max(spark.sparkContext.defaultParallelism, -(-filed.count() // UNITS_EACH))
+    return scratch.write(hash_units(filed.repartition(tasks), dimensions or DIMENSIONS, modes), "digests")
 
 
 def _hashed_orders(spark: SparkSession, sf: str, dims: tuple[str, ...] = DIMENSIONS["trade.order/1"]) -> DataFrame:
