@@ -25,7 +25,7 @@ from pyspark.sql.window import Window
 
 from prismgraph.llm.common import Scratch, buckets
 
-LOWEST = np.iinfo(np.int64).min
+LOWEST, NONE = np.iinfo(np.int64).min, np.iinfo(np.int64).max
 #: Exact in double precision as long as a sum of products stays below this.
 EXACT = 2**53
 
@@ -78,25 +78,28 @@ class BallTree:
 
 
 class Best:
-    """The k best (score, smaller id) of each query of a block."""
+    """The k best (score, smaller id) of each query of a block, and what a candidate must reach."""
 
     def __init__(self, queries: int, k: int, floor: np.ndarray):
-        self.k, self.floor = k, floor.copy()  # floor: what a candidate must reach
-        self.q = np.empty(0, np.int64)
-        self.s = np.empty(0, np.int64)
-        self.i = np.empty(0, np.int64)
-        self.n = queries
+        self.k, self.floor = k, floor.copy()
+        self.score = np.full((queries, k), LOWEST)
+        self.id = np.full((queries, k), NONE)
 
     def offer(self, q: np.ndarray, s: np.ndarray, i: np.ndarray) -> None:
-        q, s, i = np.concatenate([self.q, q]), np.concatenate([self.s, s]), np.concatenate([self.i, i])
-        order = np.lexsort((i, -s, q))
-        q, s, i = q[order], s[order], i[order]
-        start = np.searchsorted(q, np.arange(self.n))
-        nth = np.arange(len(q)) - start[q]
-        keep = nth < self.k
-        last = nth == self.k - 1
-        self.floor[q[last]] = np.maximum(self.floor[q[last]], s[last])
-        self.q, self.s, self.i = q[keep], s[keep], i[keep]
+        """Merges candidates into the lists of the queries that have any; the others aren't touched."""
+        rows, at = np.unique(q, return_inverse=True)
+        at = np.concatenate([np.repeat(np.arange(len(rows)), self.k), at])
+        s = np.concatenate([self.score[rows].ravel(), s])
+        i = np.concatenate([self.id[rows].ravel(), i])
+        order = np.lexsort((i, ~s, at))  # ~s falls as s rises, without overflow
+        first = np.searchsorted(at[order], np.arange(len(rows)))
+        take = order[first[:, None] + np.arange(self.k)]
+        self.score[rows], self.id[rows] = s[take], i[take]
+        self.floor[rows] = np.maximum(self.floor[rows], self.score[rows, -1])
+
+    def found(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        q, n = np.nonzero(self.id != NONE)
+        return q, self.id[q, n], self.score[q, n]
 
 
 def search(tree: BallTree, ids: np.ndarray, q: np.ndarray, best: Best) -> None:
@@ -157,7 +160,8 @@ def _search_shards(block, k: int, leaf: int, shard_rows: int):
                 held.append(part)
                 rows += len(part)
         build()
-        yield pd.DataFrame({"query_id": ids[best.q], "vec_id": best.i, "score": best.s})
+        q, found, score = best.found()
+        yield pd.DataFrame({"query_id": ids[q], "vec_id": found, "score": score})
 
     return run
 
@@ -176,7 +180,7 @@ def _as_bytes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def topk_search(
-    spark: SparkSession, vectors: DataFrame, query: Column, k: int = 20, shard_rows: int = 16_384, query_block: int = 8_192, leaf: int = 256, pilot_shards: int = 1
+    spark: SparkSession, vectors: DataFrame, query: Column, k: int = 20, shard_rows: int = 16_384, query_block: int = 8_192, leaf: int = 512, pilot_shards: int = 1
 ) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k best rows of `vectors` (vec_id, embedding) for each row where `query` holds.
 

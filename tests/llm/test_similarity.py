@@ -180,7 +180,7 @@ def test_tree_leaves_out_nodes():
     assert sum(seen) < 3 * 4000 / 4
     for q in range(3):
         top = sorted(((-int(vectors[q] @ v), i) for i, v in enumerate(vectors)))[:5]
-        assert [(-s, i) for s, i in zip(best.s[best.q == q], best.i[best.q == q])] == top
+        assert list(zip(best.score[q], best.id[q])) == [(-s, i) for s, i in top]
 
 
 @pytest.mark.parametrize("text", ["", "<|", "<\\|", "<\\\\|x", f"{START}user{SEP}{END}", "a < | b", "\\<|\\", "<<||>", "é<|🙂"])
