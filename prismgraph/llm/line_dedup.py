@@ -142,6 +142,7 @@ def repeated_runs(spark: SparkSession, docs: DataFrame, min_words: int, scratch:
         here = scratch.write(here.select("doc_id", "h", "line", "run", "rank", "rank2"), f"runs{level}")
         interval = ["run", "rank", "rank2"]
         first = here.groupBy(*interval).agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first <> last").drop("last")
+        first = scratch.write(first, f"first{level}")  # the join then shuffles both sides anew, and can split a hot interval
         later = here.join(first, interval).filter(place != F.col("first")).select("doc_id", "h", "line", "run")
         later = scratch.write(later, f"later{level}")
         found = later if found is None else found.unionByName(later)
