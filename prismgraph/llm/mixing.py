@@ -123,7 +123,7 @@ def mix_sources(
     share: float = 1.5,
     cap: float = 2.0,
     seed: int = 7,
-    block_rows: int = 16_384,
+    block_rows: int = 4096,
     size: Column | None = None,
 ) -> DataFrame:
     """One row per document: doc_id, source, size, source_size, target (its source's), copies, taken (size * copies).
