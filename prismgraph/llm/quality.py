@@ -10,7 +10,7 @@ hash of doc_id. It is the only thing that doesn't grow with the input.
 
 Defined results: a null text counts as empty; a text without terms, and every text where there are no labels at all, gets
 the mean label of the sample (0.5 without labels); a doc_id labelled twice has the mean of its labels; texts of over
-8 MiB are counted in pieces of that size; rows that repeat are scored alike; an empty table gives an empty result.
+2 MiB are counted in pieces of that size; rows that repeat are scored alike; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,9 +27,9 @@ TRIGRAMS, RUNS, SHAPES = 2048, 1024, 128
 TERMS = TRIGRAMS + RUNS + SHAPES + 1
 #: Columns of each family and the length it is given; words like the one before count as their share of all words.
 FAMILIES = (((0, TRIGRAMS), 0.5), ((TRIGRAMS, TRIGRAMS + RUNS), 0.7), ((TRIGRAMS + RUNS, TERMS - 1), 0.7))
-PIECE = 8 << 20
+PIECE = 2 << 20
 #: Bytes and documents of one block of counting.
-BLOCK_BYTES, BLOCK_DOCS = 2 << 20, 512
+BLOCK_BYTES, BLOCK_DOCS = 1 << 20, 512
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
