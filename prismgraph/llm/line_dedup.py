@@ -118,44 +118,46 @@ def repeated_runs(spark: SparkSession, docs: DataFrame, min_words: int, scratch:
     kind = docs.schema["doc_id"].dataType
     texts = docs.filter("text is not null").select("doc_id", F.xxhash64("text").alias("h"), "text")
     schema = f"doc_id {kind.simpleString()}, h long, line int, digest binary, runs array<int>"
-    lines = scratch.write(texts.mapInArrow(_lines(min_words, to_arrow_type(kind)), schema), "lines")
-    place = F.struct("doc_id", "h", "line")
+    lines = texts.mapInArrow(_lines(min_words, to_arrow_type(kind)), schema)
+    # a struct is never null itself, so joins match the documents without an id too
+    lines = scratch.write(lines.select(F.struct("doc_id").alias("doc"), "h", "line", "digest", "runs"), "lines")
+    place = F.struct("doc", "h", "line")
 
     # rows that repeat id and text are one document: count places, not rows
     ids = lines.groupBy("digest").agg(F.min(place).alias("low"), F.max(place).alias("high")).filter("low <> high").select("digest")
     ids = _ranked(ids, ["digest"], scratch, "ids")
-    suffixes = lines.join(ids, "digest").select("doc_id", "h", "line", "rank", "runs").distinct()
+    suffixes = lines.join(ids, "digest").select("doc", "h", "line", "rank", "runs").distinct()
     suffixes = scratch.write(suffixes, "suffixes0")
-    runs = suffixes.select("doc_id", "h", "line", F.explode("runs").alias("run"))
+    runs = suffixes.select("doc", "h", "line", F.explode("runs").alias("run"))
     ranks = suffixes.drop("runs")
     found: DataFrame | None = None
     level = 0
     while True:
         k = 1 << level
         # intervals of depth k to 2k - 1
-        here = runs.filter(F.col("run") < 2 * k).join(ranks, ["doc_id", "h", "line"])
+        here = runs.filter(F.col("run") < 2 * k).join(ranks, ["doc", "h", "line"])
         if k > 1:
-            tail = ranks.select("doc_id", "h", F.col("line").alias("_at"), F.col("rank").alias("rank2"))
-            here = here.withColumn("_at", F.col("line") + F.col("run") - k).join(tail, ["doc_id", "h", "_at"]).drop("_at")
+            tail = ranks.select("doc", "h", F.col("line").alias("_at"), F.col("rank").alias("rank2"))
+            here = here.withColumn("_at", F.col("line") + F.col("run") - k).join(tail, ["doc", "h", "_at"]).drop("_at")
         else:
             here = here.withColumn("rank2", F.col("rank"))
-        here = scratch.write(here.select("doc_id", "h", "line", "run", "rank", "rank2"), f"runs{level}")
+        here = scratch.write(here.select("doc", "h", "line", "run", "rank", "rank2"), f"runs{level}")
         interval = ["run", "rank", "rank2"]
         first = here.groupBy(*interval).agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first <> last").drop("last")
         first = scratch.write(first, f"first{level}")  # the join then shuffles both sides anew, and can split a hot interval
-        later = here.join(first, interval).filter(place != F.col("first")).select("doc_id", "h", "line", "run")
+        later = here.join(first, interval).filter(place != F.col("first")).select("doc", "h", "line", "run")
         later = scratch.write(later, f"later{level}")
         found = later if found is None else found.unionByName(later)
-        runs = scratch.write(runs.filter(F.col("run") >= 2 * k).join(ranks, ["doc_id", "h", "line"], "left_semi"), f"longer{level}")
+        runs = scratch.write(runs.filter(F.col("run") >= 2 * k).join(ranks, ["doc", "h", "line"], "left_semi"), f"longer{level}")
         if runs.isEmpty():
-            return found
+            return found.select("doc.doc_id", "h", "line", "run")
         # ranks of twice the depth; what occurs once, or runs past its document, drops out
-        ahead = Window.partitionBy("doc_id", "h").orderBy("line").rangeBetween(k, k)
+        ahead = Window.partitionBy("doc", "h").orderBy("line").rangeBetween(k, k)
         pairs = ranks.withColumn("then", F.first("rank").over(ahead)).filter("then is not null")
         pairs = scratch.write(pairs, f"pairs{level}")
         twice = pairs.groupBy("rank", "then").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("rank").alias("one"), F.col("then").alias("two"))
         twice = _ranked(twice, ["one", "two"], scratch, f"ids{level + 1}")
-        ranks = pairs.withColumnsRenamed({"rank": "one", "then": "two"}).join(twice, ["one", "two"]).select("doc_id", "h", "line", "rank")
+        ranks = pairs.withColumnsRenamed({"rank": "one", "then": "two"}).join(twice, ["one", "two"]).select("doc", "h", "line", "rank")
         ranks = scratch.write(ranks, f"suffixes{level + 1}")
         level += 1
 

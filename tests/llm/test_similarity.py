@@ -135,6 +135,19 @@ def test_line_dedup(spark, messy, empty, least):
         assert dedup_lines(spark, docs).count() == docs.count() and dedup_lines(spark, empty[0]).count() == 0
 
 
+@pytest.mark.parametrize("least", [5, 75])
+def test_line_dedup_of_rows_without_an_id(spark, messy, least):
+    """Rows without an id count, before all others, in the order of their texts' hashes."""
+    docs, data, _ = messy
+    more = [(None, r[1]) for r in data[10:50:5]] + [(None, data[20][1]), (None, "\n".join([data[30][1], data[30][1]])), (None, None)]
+    table = docs.select("doc_id", "text").unionByName(spark.createDataFrame(more, "doc_id long, text string"))
+    rows = [tuple(r) for r in table.withColumn("h", F.xxhash64("text")).collect()]
+    stand_in = {t: n - 1000 for n, (_, t) in enumerate(sorted({(h, t) for i, t, h in rows if i is None and t is not None}))}
+    want = _line_dedup([(stand_in[t] if i is None and t is not None else i, t) for i, t, _ in rows], least)
+    expected = Counter((i, None if t is None else want[stand_in[t] if i is None else i, t]) for i, t, _ in rows)
+    assert Counter((r["doc_id"], r["text"]) for r in dedup_lines(spark, table, least).collect()) == expected
+
+
 def test_line_runs_of_short_lines(spark):
     """Runs that only together have enough words, over blank lines, across several doublings, and inside one document."""
     run = "a b\n\nc\n\n\n\n\n\n\nd e f"
