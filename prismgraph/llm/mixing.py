@@ -8,7 +8,8 @@ one block holds what a source has left. The landing decides the last two and a d
 compared: it takes the one nearest to the words, and documents, that are expected of them.
 
 Defined results: a null text has size 0 and is taken any number of times at no cost; a null source is a source of its
-own, the last; documents that repeat an id are sampled row by row; an empty table gives an empty result.
+own, the last; documents that lack or repeat an id are sampled, and taken, row by row; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from prismgraph.llm.common import WORD, Scratch, buckets
 
@@ -99,12 +101,12 @@ def flight(prob: Sequence[float], size: Sequence[float], rng: random.Random, lan
     return out
 
 
-FLOWN = "doc_id {id}, size long, sid int, base int, pi double, block long, extra int"
+FLOWN = "doc_id {id}, text_hash long, size long, sid int, base int, pi double, block long, extra int"
 
 
 def _fly(seed: int, level: int, last: bool):
-    order = [("size", "descending"), ("doc_id", "ascending"), ("pi", "ascending")]
-    names = ["doc_id", "size", "sid", "base", "pi", "block"]
+    order = [("size", "descending"), ("doc_id", "ascending"), ("pi", "ascending"), ("text_hash", "ascending")]
+    names = ["doc_id", "text_hash", "size", "sid", "base", "pi", "block"]
 
     def fly(key: tuple, rows: pa.Table) -> pa.Table:
         rows = rows.select(names).sort_by(order)
@@ -126,13 +128,13 @@ def mix_sources(
     block_rows: int = 4096,
     size: Column | None = None,
 ) -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target (its source's), copies, taken (size * copies).
+    """One row per document: doc_id, text_hash, source, size, source_size, target (its source's), copies, taken (size * copies).
 
     Sources weigh `weights`, repeating, by code point with null last. Reruns on the same rows agree: the random numbers
     come from the seed, the source and the block, and rows are sorted inside a block.
     """
     scratch = Scratch(spark, "mix")
-    narrow = scratch.write(docs.select("doc_id", "source", (word_count() if size is None else size).alias("size")), "sizes")
+    narrow = scratch.write(docs.select("doc_id", "source", F.xxhash64("text").alias("text_hash"), (word_count() if size is None else size).alias("size")), "sizes")
     found = narrow.groupBy("source").agg(F.sum("size").alias("s"), F.count(F.lit(1)).alias("n")).collect()
     found.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
     totals = [int(r["s"] or 0) for r in found]
@@ -146,7 +148,7 @@ def mix_sources(
     if len(found) <= BROADCAST_SOURCES:
         table = F.broadcast(table)
     rows = narrow.alias("n").join(table.alias("t"), F.col("n.source").eqNullSafe(F.col("t.source")))
-    rows = rows.select("doc_id", "size", "sid", "base", "pi", F.pmod(F.xxhash64("doc_id", "size"), F.col("nb")).alias("block"))
+    rows = rows.select("doc_id", "text_hash", "size", "sid", "base", "pi", F.pmod(F.xxhash64("doc_id", "size"), F.col("nb")).alias("block"))
     schema = FLOWN.format(id=docs.schema["doc_id"].dataType.simpleString())
     decided: DataFrame | None = None
     level, most = 0, max(blocks, default=1)
@@ -163,14 +165,35 @@ def mix_sources(
     copies = (F.col("base") + F.col("extra")).cast("int")
     facts = F.broadcast(table) if len(found) <= BROADCAST_SOURCES else table
     return decided.join(facts.select("sid", "source", "source_size", "target"), "sid").select(
-        "doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).cast("long").alias("taken")
+        "doc_id", "text_hash", "source", "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).cast("long").alias("taken")
     )
 
 
 def apply_mix(docs: DataFrame, mixed: DataFrame) -> DataFrame:
-    """The documents themselves, each as often as the mix takes it (rows that repeat an id share their ids' copies)."""
-    times = mixed.groupBy("doc_id").agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows"))
-    joined = docs.alias("d").join(times.alias("m"), F.col("d.doc_id").eqNullSafe(F.col("m.doc_id")))
-    nth = F.explode(F.sequence(F.lit(1), F.ceil(F.col("_copies") / F.col("_rows")).cast("int")))
-    return joined.filter("_copies > 0").select(*[F.col(f"d.`{c}`") for c in docs.columns], nth.alias("_nth")).drop("_nth")
-
+    """The documents themselves, each row as often as the mix takes it.
+
+    Rows are met by id, source and text, nulls included. Rows that agree in all three have copies that differ by one at
+    most; they are numbered, by partition and inside it, and the first of them are taken once more."""
+    key = ["doc_id", "source", "text_hash"]
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.spark_partition_id().alias("part"))
+    rows = rows.withColumn("text_hash", F.xxhash64("row.text")).alias("d")
+    low = F.min("copies")
+    times = mixed.groupBy(*key).agg(low.alias("low"), (F.sum("copies") - low * F.count(F.lit(1))).alias("more"))
+
+    def met(times: DataFrame) -> DataFrame:
+        same = F.col("d.row.doc_id").eqNullSafe(F.col("m.doc_id")) & F.col("d.row.source").eqNullSafe(F.col("m.source"))
+        return rows.join(times.alias("m"), same & (F.col("d.text_hash") == F.col("m.text_hash"))).select("d.row", "d.part", "m.*")
+
+    taken = met(times.filter("more = 0")).select("row", F.col("low").alias("copies"))
+    uneven = times.filter("more > 0")
+    if not uneven.isEmpty():
+        uneven = Scratch(docs.sparkSession, "taken").write(met(uneven), "uneven").alias("u")
+        earlier = Window.partitionBy(*key).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+        parts = uneven.groupBy(*key, "part").agg(F.count(F.lit(1)).alias("n"))
+        parts = parts.select(*key, "part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before")).alias("p")
+        same = [F.col(f"u.{c}").eqNullSafe(F.col(f"p.{c}")) for c in [*key, "part"]]
+        nth = F.row_number().over(Window.partitionBy(*[F.col(f"u.{c}") for c in [*key, "part"]]).orderBy(F.lit(0)))
+        numbered = uneven.join(parts, same).select("u.row", "u.low", "u.more", (F.col("p.before") + nth).alias("nth"))
+        taken = taken.unionByName(numbered.select("row", (F.col("low") + (F.col("nth") <= F.col("more")).cast("int")).alias("copies")))
+    nth = F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("nth")
+    return taken.filter("copies > 0").select("row", nth).select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

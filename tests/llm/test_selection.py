@@ -256,3 +256,34 @@ def test_training_order(spark, messy, empty, tmp_path):
     everything = [x for r in sorted(rows, key=lambda r: r["index"]) for x in read_ids(shards[r["shard"]]["file"], r["slot"], shards[r["shard"]]["first_slot"], 64).tolist()]
     assert Counter(everything) == Counter(x for r in data for x in [*encode(r[1] or "").tolist(), 1])
     assert materialise(spark, empty[0], f"file://{tmp_path}/none", BPE).count() == 0
+
+
+def test_the_mix_is_taken_row_by_row(spark, messy):
+    """Rows that lack or repeat an id, of several sources, and rows that agree in id, source and text."""
+    import corpus_pipeline as pipeline
+
+    docs, data, _ = messy
+    rng = random.Random(8)
+    text = lambda n: " ".join(f"w{rng.randrange(900)}" for _ in range(n))
+    more = [(None, text(rng.randint(1, 40)), s) for s in ("hot", "s1", "s2", None) for _ in range(25)]
+    more += [(7_000 + i % 9, text(rng.randint(1, 40)), f"s{i % 5}") for i in range(60)]
+    more += [(None, "the same five words here", "hot")] * 23 + [(8_000, "again the same words", "s1")] * 15 + [(None, None, None)] * 5
+    table = docs.select("doc_id", "text", "source").unionByName(spark.createDataFrame(more, "doc_id long, text string, source string").repartition(6))
+    words = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    mixed = mix_sources(spark, table, weights=(3, 1, 2), share=1.5, cap=2.0).collect()
+    got = Counter()
+    for r in pipeline.mix(spark, table, "").collect():
+        got[r["source"]] += words(r["text"])
+    want = Counter()
+    for r in mixed:
+        want[r["source"]] += r["taken"]
+    assert +got == +want
+    big = max(words(r[1]) for r in data)
+    for r in mixed:
+        slack = big if any(x[3] == r["source"] and words(x[1]) == big for x in data) else 60
+        assert abs(got[r["source"]] - r["target"]) <= slack
+    rows = Counter((r["doc_id"], r["source"], r["text"]) for r in pipeline.mix(spark, table, "").collect())
+    sums, hashes = Counter(), {tuple(r)[:3]: r["h"] for r in table.withColumn("h", F.xxhash64("text")).select("doc_id", "source", "text", "h").collect()}
+    for r in mixed:
+        sums[r["doc_id"], r["source"], r["text_hash"]] += r["copies"]
+    assert Counter({(i, s, hashes[i, s, t]): n for (i, s, t), n in rows.items()}) == +sums
