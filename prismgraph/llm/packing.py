@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import base64
 import json
+import re
 import zlib
 from collections.abc import Callable, Iterable, Iterator
 
@@ -22,6 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 _ENCODERS: dict[str, Callable[[str], np.ndarray]] = {}
+_FILE_ENCODERS: dict[str, Callable[[str], np.ndarray]] = {}
 
 
 def _unicode_bytes() -> dict[str, int]:
@@ -49,6 +51,26 @@ def byte_bpe(path: str) -> Callable[[str], np.ndarray]:
     return _ENCODERS[path]
 
 
+def file_bpe(path: str) -> Callable[[str], np.ndarray]:
+    """Ids as tokenizers gives them for the file without add_special_tokens: its added tokens, where a text holds them
+    literally, are their own ids, and the text between them is encoded by byte_bpe."""
+    if path not in _FILE_ENCODERS:
+        with open(path, encoding="utf-8") as f:
+            added = json.load(f).get("added_tokens") or []
+        if any(t[flag] for t in added for flag in ("single_word", "lstrip", "rstrip", "normalized")):
+            raise ValueError(f"an added token of {path} is not met literally")
+        plain, ids = byte_bpe(path), {t["content"]: np.array([t["id"]], dtype=np.uint32) for t in added}
+        split = re.compile("(" + "|".join(re.escape(t) for t in sorted(ids, key=len, reverse=True)) + ")").split
+
+        def encode(text: str) -> np.ndarray:
+            if not any(t in text for t in ids):
+                return plain(text)
+            return np.concatenate([ids[part] if part in ids else plain(part) for part in split(text)])
+
+        _FILE_ENCODERS[path] = encode
+    return _FILE_ENCODERS[path]
+
+
 class Packer:
     """Online packing into windows of `size`; `emit` gets (window number, pieces) of every window that is closed."""
 
@@ -139,7 +161,7 @@ def _pack(path: str, end_id: int, size: int, with_ids: bool, arrow_id: pa.DataTy
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] + ["ids"] * with_ids
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = byte_bpe(path)
+        encode = file_bpe(path)
         base = TaskContext.get().partitionId() << 32
         out: list[tuple] = []
 

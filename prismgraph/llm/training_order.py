@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prismgraph.llm.common import buckets
-from prismgraph.llm.packing import byte_bpe
+from prismgraph.llm.packing import file_bpe
 
 HEAD = "<QI"
 HEAD_SIZE = struct.calcsize(HEAD)
@@ -76,7 +76,7 @@ def _records(tokenizer: str, end_id: int, length: int, wide: bool, base, domain:
     kind = np.dtype("<u4" if wide else "<u2")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = byte_bpe(tokenizer)
+        encode = file_bpe(tokenizer)
         start, room = base.value.get(TaskContext.get().partitionId(), (0, 0))
         held: list[np.ndarray] = []
         size = number = 0
