@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from prismgraph.llm.common import Scratch
+from prismgraph.llm.common import Scratch, free_name
 from prismgraph.llm.line_dedup import dedup_lines
 from prismgraph.llm.mixing import apply_mix, mix_sources
 from prismgraph.llm.near_dup import keep_one_each
@@ -24,13 +24,15 @@ THRESHOLD = 0.7
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a quality score of at least 0.7; the others go."""
     model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), "quality", learn=~held_out(), sample=4096)
-    return score_quality(spark, docs, model, docs.columns).filter(F.col("score") >= THRESHOLD).drop("score")
+    score = free_name(docs.columns, "score")
+    return score_quality(spark, docs, model, docs.columns, score).filter(F.col(score) >= THRESHOLD).drop(score)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the later copies of repeated runs of lines of five words or more; those that lose every line go."""
-    out = dedup_lines(spark, docs, min_words=5).filter((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_lines")))
-    changed = {"n_chars": F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {}
+    lines, removed = free_name(docs.columns, "n_lines"), free_name(docs.columns, "n_removed")
+    out = dedup_lines(spark, docs, min_words=5, added=(lines, removed)).filter((F.col(removed) == 0) | (F.col(removed) < F.col(lines)))
+    changed = {"n_chars": F.when(F.col(removed) > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {}
     return out.withColumns(changed).select(*docs.columns)
 
 

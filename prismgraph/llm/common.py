@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from prismgraph.scratch import Scratch
 
-__all__ = ["SPACE", "WORD", "Scratch", "buckets", "text_or_empty"]
+__all__ = ["SPACE", "WORD", "Scratch", "buckets", "free_name", "text_or_empty"]
 
 #: ASCII white space, as one Java / RE2 character class.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -18,6 +18,14 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+def free_name(taken: list[str], name: str) -> str:
+    """The name, after as many underscores as it takes to clash with none that is taken; case doesn't count."""
+    known = {c.lower() for c in taken}
+    while name.lower() in known:
+        name = f"_{name}"
+    return name
+
+
 def buckets(rows: int, each: int) -> int:
     """Number of buckets that hold about `each` of `rows` rows, at least one."""
     return max(1, -(-int(rows) // int(each)))

@@ -82,8 +82,8 @@ def _lines(least: int, arrow_id: pa.DataType):
     return run
 
 
-def _rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Takes the runs in column `_runs` out of column `text`; adds n_lines and n_removed."""
+def _rebuild(batches: Iterator[pa.RecordBatch], added: tuple[str, str] = ("n_lines", "n_removed")) -> Iterator[pa.RecordBatch]:
+    """Takes the runs in column `_runs` out of column `text`; adds the numbers of lines and of removed ones."""
     for b in batches:
         names = b.schema.names
         at, rows = names.index("text"), b.column(names.index("_runs")).to_pylist()
@@ -104,7 +104,7 @@ def _rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             removed.append(n - int(keep.sum()))
         columns = [pa.array(texts, b.column(at).type) if name == "text" else c for name, c in zip(names, b.columns) if name != "_runs"]
         names = [n for n in names if n != "_runs"]
-        yield pa.RecordBatch.from_arrays([*columns, pa.array(total, pa.int32()), pa.array(removed, pa.int32())], names=[*names, "n_lines", "n_removed"])
+        yield pa.RecordBatch.from_arrays([*columns, pa.array(total, pa.int32()), pa.array(removed, pa.int32())], names=[*names, *added])
 
 
 def _ranked(df: DataFrame, key: list[str], scratch: Scratch, name: str) -> DataFrame:
@@ -162,13 +162,13 @@ def repeated_runs(spark: SparkSession, docs: DataFrame, min_words: int, scratch:
         level += 1
 
 
-def dedup_lines(spark: SparkSession, docs: DataFrame, min_words: int = 5) -> DataFrame:
-    """The columns of docs with text rid of later copies of repeated runs of lines, and n_lines, n_removed."""
+def dedup_lines(spark: SparkSession, docs: DataFrame, min_words: int = 5, added: tuple[str, str] = ("n_lines", "n_removed")) -> DataFrame:
+    """The columns of docs with text rid of later copies of repeated runs of lines, and n_lines, n_removed under the names `added`."""
     scratch = Scratch(spark, "lines")
     runs = repeated_runs(spark, docs, min_words, scratch)
     gone = runs.groupBy("doc_id", "h").agg(F.collect_list(F.struct("line", "run")).alias("_runs")).withColumnsRenamed({"doc_id": "_doc", "h": "_h"})
     gone = scratch.write(gone, "gone")
     keyed = docs.withColumn("_hash", F.xxhash64("text"))
     joined = keyed.join(gone, keyed["doc_id"].eqNullSafe(gone["_doc"]) & (keyed["_hash"] == gone["_h"]), "left").drop("_doc", "_h", "_hash")
-    schema = T.StructType([*docs.schema.fields, T.StructField("n_lines", T.IntegerType()), T.StructField("n_removed", T.IntegerType())])
-    return joined.mapInArrow(_rebuild, schema)
+    schema = T.StructType([*docs.schema.fields, *(T.StructField(c, T.IntegerType()) for c in added)])
+    return joined.mapInArrow(lambda batches: _rebuild(batches, added), schema)

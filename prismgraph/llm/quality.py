@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from prismgraph.llm.common import free_name
+
 TRIGRAMS, RUNS, SHAPES = 2048, 1024, 128
 TERMS = TRIGRAMS + RUNS + SHAPES + 1
 #: Columns of each family and the length it is given; words like the one before count as their share of all words.
@@ -192,21 +194,21 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", learn: Col
     return fit(counts, np.array([r["label"] for r in rows], float))
 
 
-def _score(model) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _score(model, name: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = _powers(PIECE)
         for b in batches:
             if len(b):
                 score = np.concatenate([model.value.score(c) for c in counted(b.column(b.num_columns - 1), powers)])
-                yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(score, pa.float64())], names=[*b.schema.names[:-1], "score"])
+                yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(score, pa.float64())], names=[*b.schema.names[:-1], name])
 
     return run
 
 
-def score_quality(spark: SparkSession, docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """The columns `keep` of every document, and score (0 to 1; higher: label 1 is likelier)."""
+def score_quality(spark: SparkSession, docs: DataFrame, model: Model, keep: list[str], name: str = "score") -> DataFrame:
+    """The columns `keep` of every document, and score (0 to 1; higher: label 1 is likelier) under `name`."""
     fields = [docs.schema[c] for c in keep]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", score double"
-    schema = schema if fields else "score double"
-    sent = docs.select(*[F.col(f"`{c}`") for c in keep], F.coalesce("text", F.lit("")).alias("_text_to_score"))
-    return sent.mapInArrow(_score(spark.sparkContext.broadcast(model)), schema)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + f", `{name}` double"
+    schema = schema if fields else f"`{name}` double"
+    sent = docs.select(*[F.col(f"`{c}`") for c in keep], F.coalesce("text", F.lit("")).alias(free_name(keep, "_text_to_score")))
+    return sent.mapInArrow(_score(spark.sparkContext.broadcast(model), name), schema)
