@@ -246,15 +246,17 @@ def _compare(threshold: float, tolerance: float):
 
 
 def jaccard_join(
-    spark: SparkSession, docs: DataFrame, threshold: float = 0.8, tolerance: float = 1e-7, block: int = 256
+    spark: SparkSession, docs: DataFrame, threshold: float = 0.8, tolerance: float = 1e-7, block: int = 256, with_first: bool = False
 ) -> DataFrame:
     """One row per document: doc_id, text_hash, class_id (smallest doc_id of all that links connect), n_links (documents of similarity
-    threshold or more, copies included), n_copies (documents of the same set, itself included), copy_id (the smallest)."""
+    threshold or more, copies included), n_copies (documents of the same set, itself included), copy_id (the smallest).
+    `with_first` adds class_first: no_id, doc_id, text_hash of the smallest of the class, ids first; null for a text without words."""
     scratch = Scratch(spark, "near")
     kind = docs.schema["doc_id"].dataType
     texts = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.coalesce("text", F.lit("")).alias("text"))
     signed = scratch.write(texts.mapInArrow(_sign, f"doc_id {kind.simpleString()}, text_hash long, node binary, signature binary"), "signed")
-    nodes = signed.filter("node is not null").groupBy("node").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("copy_id"), F.any_value("signature").alias("signature"))
+    first = [F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("first")] if with_first else []
+    nodes = signed.filter("node is not null").groupBy("node").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("copy_id"), F.any_value("signature").alias("signature"), *first)
     nodes = scratch.write(nodes, "nodes")
 
     band = F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, F.substring(F.col("signature"), b * (4 * ROWS) + 1, F.lit(4 * ROWS)))))
@@ -278,10 +280,11 @@ def jaccard_join(
 
     links = compared.groupBy("node").agg(F.sum("links").alias("links"))
     groups = connected_components(compared.select(F.col("node").alias("a"), F.col("hub").alias("b")), scratch.write, scratch.drop, "classes")
-    facts = nodes.select("node", "copies", "copy_id").join(groups, "node", "left").join(links, "node", "left")
-    facts = facts.select("node", "copies", "copy_id", F.coalesce("root", "node").alias("root"), F.coalesce("links", F.lit(0)).alias("links"))
-    classes = facts.groupBy("root").agg(F.min("copy_id").alias("class_id"))
-    facts = scratch.write(facts.join(classes, "root").drop("root"), "facts")
+    carried = ["first"] if with_first else []
+    facts = nodes.select("node", "copies", "copy_id", *carried).join(groups, "node", "left").join(links, "node", "left")
+    facts = facts.select("node", "copies", "copy_id", F.coalesce("root", "node").alias("root"), F.coalesce("links", F.lit(0)).alias("links"), *carried)
+    classes = facts.groupBy("root").agg(F.min("copy_id").alias("class_id"), *(F.min(c).alias("class_first") for c in carried))
+    facts = scratch.write(facts.join(classes, "root").drop("root", *carried), "facts")
     out = signed.select("doc_id", "text_hash", "node").join(facts, "node", "left")
     return out.select(
         "doc_id",
@@ -290,14 +293,16 @@ def jaccard_join(
         F.when(F.col("node").isNull(), F.lit(0)).otherwise(F.col("links") + F.col("copies") - 1).cast("long").alias("n_links"),
         F.coalesce("copies", F.lit(1)).cast("long").alias("n_copies"),
         F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("copy_id")).alias("copy_id"),
+        *(["class_first"] if with_first else []),
     )
 
 
 def keep_one_each(spark: SparkSession, docs: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """docs with one document of each class, that of the smallest doc_id. Of rows that repeat id and text one stays.
+    """docs with one document of each class, that of the smallest (doc_id, hash of the text). Of rows that repeat id and text one stays.
 
-    Documents that lack an id go where their class has one with an id, and stay where it has none."""
-    joined = Scratch(spark, "keep").write(jaccard_join(spark, docs, threshold), "joined")
+    Documents that lack an id go where their class has one with an id; where it has none, one of them stays. Texts without
+    words are classes of their own: of those without an id all stay."""
+    joined = Scratch(spark, "keep").write(jaccard_join(spark, docs, threshold, with_first=True), "joined")
     keyed = docs.withColumn("_hash", F.xxhash64("text")).alias("d")
 
     def matching(rows: DataFrame, how: str, left: DataFrame) -> DataFrame:
@@ -305,9 +310,10 @@ def keep_one_each(spark: SparkSession, docs: DataFrame, threshold: float = 0.8)
         rows = rows.alias("r")
         return left.join(rows, F.col("d.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("d._hash") == F.col("r.text_hash")), how)
 
-    gone = joined.filter(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select("doc_id", "text_hash").distinct()
+    own = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
+    gone = joined.filter(F.col("class_first").isNotNull() & (F.col("class_first") != own)).select("doc_id", "text_hash").distinct()
     out = matching(gone, "left_anti", keyed)
-    again = joined.groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 and doc_id is not null").drop("n")
+    again = joined.filter("doc_id is not null or class_first is not null").groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     if not again.isEmpty():
         out = matching(again, "left_anti", out).unionByName(matching(again, "left_semi", out).dropDuplicates(["doc_id", "_hash"]))
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])
