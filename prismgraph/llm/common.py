@@ -2,17 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from prismgraph.scratch import Scratch
 
-__all__ = ["SPACE", "WORD", "Scratch", "buckets", "free_name", "text_or_empty"]
+__all__ = ["SPACE", "WORD", "Scratch", "bound_batches", "buckets", "free_name", "text_or_empty"]
 
 #: ASCII white space, as one Java / RE2 character class.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Bytes of an Arrow batch on its way to a Python worker; a single longer row is a batch of its own.
+BATCH_BYTES = 4 << 20
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Bounds Arrow batches by bytes in this session, unless it says itself how large they are: batches of so many rows
+    have any size where texts are long. Plans run later than they are made, so the setting stays."""
+    if spark.conf.get(BATCH_SETTING, None) is None:
+        spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
+
 
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))

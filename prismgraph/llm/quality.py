@@ -10,12 +10,12 @@ hash of doc_id. It is the only thing that doesn't grow with the input.
 
 Defined results: a null text counts as empty; a text without terms, and every text where there are no labels at all, gets
 the mean label of the sample (0.5 without labels); a doc_id labelled twice has the mean of its labels; texts of over
-2 MiB are counted in pieces of that size; rows that repeat are scored alike; an empty table gives an empty result.
+1 MiB are counted in pieces of that size; rows that repeat are scored alike; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,15 +23,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prismgraph.llm.common import free_name
+from prismgraph.llm.common import bound_batches
 
 TRIGRAMS, RUNS, SHAPES = 2048, 1024, 128
 TERMS = TRIGRAMS + RUNS + SHAPES + 1
 #: Columns of each family and the length it is given; words like the one before count as their share of all words.
 FAMILIES = (((0, TRIGRAMS), 0.5), ((TRIGRAMS, TRIGRAMS + RUNS), 0.7), ((TRIGRAMS + RUNS, TERMS - 1), 0.7))
-PIECE = 2 << 20
+PIECE = 1 << 20
 #: Bytes and documents of one block of counting.
-BLOCK_BYTES, BLOCK_DOCS = 1 << 20, 512
+BLOCK_BYTES, BLOCK_DOCS = 1 << 18, 256
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -175,12 +175,16 @@ def held_out(doc_id: str = "doc_id", parts: int = 4, part: int = 2) -> Column:
 
 
 def _texts_to_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """text, label -> the numbers of the terms that occur, how often each does, label."""
     powers = _powers(PIECE)
     for b in batches:
-        if len(b):
-            rows = np.concatenate(list(counted(b.column(0), powers)))
-            raw = [np.minimum(r, 60_000).astype(np.float16).tobytes() for r in rows]
-            yield pa.RecordBatch.from_arrays([pa.array(raw, pa.binary()), b.column(1)], names=["counts", "label"])
+        terms, counts = [], []
+        for block in counted(b.column(0), powers):
+            for row in block:
+                at = np.flatnonzero(row)
+                terms.append(at.astype("<u2").tobytes())
+                counts.append(row[at].astype("<f4").tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array(terms, pa.binary()), pa.array(counts, pa.binary()), b.column(1)], names=["terms", "counts", "label"])
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", learn: Column | None = None, sample: int = 4096) -> Model:
@@ -188,27 +192,30 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", learn: Col
     chosen = usable.groupBy("doc_id").agg(F.avg(label).alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")  # at most `sample` rows
     texts = texts.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(sample).select("text", "label")
-    rows = texts.repartition(8).mapInArrow(_texts_to_counts, "counts binary, label double").collect()
-    rows.sort(key=lambda r: (bytes(r["counts"]), r["label"]))
-    counts = np.frombuffer(b"".join(bytes(r["counts"]) for r in rows), np.float16).reshape(len(rows), TERMS).astype(np.float32)
+    bound_batches(docs.sparkSession)
+    rows = texts.repartition(8).mapInArrow(_texts_to_counts, "terms binary, counts binary, label double").collect()  # at most `sample`
+    rows.sort(key=lambda r: (bytes(r["terms"]), bytes(r["counts"]), r["label"]))
+    counts = np.zeros((len(rows), TERMS), np.float32)
+    for i, r in enumerate(rows):
+        counts[i, np.frombuffer(r["terms"], "<u2")] = np.frombuffer(r["counts"], "<f4")
     return fit(counts, np.array([r["label"] for r in rows], float))
 
 
-def _score(model, name: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def score_column(spark: SparkSession, model: Model, text: Column) -> Column:
+    """The score of a text. Texts alone go to Python, once, and come back as a number; Spark keeps the other columns."""
+    held = spark.sparkContext.broadcast(model)
+
+    @F.arrow_udf("double")
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         powers = _powers(PIECE)
-        for b in batches:
-            if len(b):
-                score = np.concatenate([model.value.score(c) for c in counted(b.column(b.num_columns - 1), powers)])
-                yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(score, pa.float64())], names=[*b.schema.names[:-1], name])
+        for texts in batches:
+            found = [held.value.score(c) for c in counted(texts, powers)]
+            yield pa.array(np.concatenate(found) if found else np.zeros(0), pa.float64())
 
-    return run
+    return score(F.coalesce(text, F.lit("")))
 
 
 def score_quality(spark: SparkSession, docs: DataFrame, model: Model, keep: list[str], name: str = "score") -> DataFrame:
     """The columns `keep` of every document, and score (0 to 1; higher: label 1 is likelier) under `name`."""
-    fields = [docs.schema[c] for c in keep]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + f", `{name}` double"
-    schema = schema if fields else f"`{name}` double"
-    sent = docs.select(*[F.col(f"`{c}`") for c in keep], F.coalesce("text", F.lit("")).alias(free_name(keep, "_text_to_score")))
-    return sent.mapInArrow(_score(spark.sparkContext.broadcast(model), name), schema)
+    bound_batches(spark)
+    return docs.select(*[F.col(f"`{c}`") for c in keep], score_column(spark, model, F.col("text")).alias(name))
