@@ -3,7 +3,8 @@
 Documents arrive one by one. Whole windows are cut off a long document; the rest goes where the sum of squares of the
 counts of partially filled windows, by fill level, becomes smallest. The counts live in an array by level, so a choice
 costs one pass over that array. At the end of a partition the windows that are still open are poured into one another,
-cut freely, so that a partition leaves one partial window at most.
+cut freely, so that a partition leaves one partial window at most. Open windows hold no more than the ids of the
+partition's own documents, two bytes each where the vocabulary allows.
 
 Defined results: a null or empty text is its end token alone; rows that repeat are packed as often as they come; a
 partition without rows, or an empty table, gives none; other columns are ignored.
@@ -22,6 +23,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from prismgraph.llm.common import bound_batches
+
 _ENCODERS: dict[str, Callable[[str], np.ndarray]] = {}
 _FILE_ENCODERS: dict[str, Callable[[str], np.ndarray]] = {}
 
@@ -74,11 +77,11 @@ def file_bpe(path: str) -> Callable[[str], np.ndarray]:
 class Packer:
     """Online packing into windows of `size`; `emit` gets (window number, pieces) of every window that is closed."""
 
-    def __init__(self, size: int, emit: Callable[[int, list], None], most_open: int = 4096):
-        self.size, self.emit, self.most_open = size, emit, most_open
+    def __init__(self, size: int, emit: Callable[[int, list], None]):
+        self.size, self.emit = size, emit
         self.count = np.zeros(size + 1, dtype=np.int64)  # open windows by fill level
         self.open: dict[int, list[list]] = {}  # their pieces, by fill level
-        self.opened = self.closed = 0
+        self.closed = 0
 
     def _close(self, pieces: list) -> None:
         self.emit(self.closed, pieces)
@@ -110,7 +113,6 @@ class Packer:
         if at:
             pieces = self.open[at].pop()
             self.count[at] -= 1
-            self.opened -= 1
         else:
             pieces = []
         pieces.append((doc, start, ids[start:].copy(), total))
@@ -119,14 +121,11 @@ class Packer:
         else:
             self.open.setdefault(at + n, []).append(pieces)
             self.count[at + n] += 1
-            self.opened += 1
-            if self.opened > self.most_open:
-                self.flush(False)
 
-    def flush(self, end: bool = True) -> None:
-        """Pours the emptiest open windows into the fullest, cutting pieces; the last partial one stays open or ends."""
+    def pour(self) -> Iterator[None]:
+        """Pours the emptiest open windows into the fullest, cutting pieces, and closes the last; a step for each that closes."""
         left = [[lv, w] for lv in sorted(self.open) for w in self.open[lv]]
-        self.open, self.opened = {}, 0
+        self.open = {}
         self.count[:] = 0
         lo, hi = 0, len(left) - 1
         while lo < hi:
@@ -142,37 +141,44 @@ class Packer:
                 left[lo][0] -= len(ids)
                 room -= len(ids)
             if not room:
-                self._close(left[hi][1])
+                self._close(left.pop()[1])
                 hi -= 1
+                yield
             if not give:
                 lo += 1
         if lo == hi and left[lo][1]:
-            if end:
-                self._close(left[lo][1])
-            else:
-                self.open[left[lo][0]] = [left[lo][1]]
-                self.count[left[lo][0]] = self.opened = 1
+            self._close(left[lo][1])
+            yield
+
+    def flush(self) -> None:
+        for _ in self.pour():
+            pass
 
 
 PIECE = "doc_id {id}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def _pack(path: str, end_id: int, size: int, with_ids: bool, arrow_id: pa.DataType, rows_out: int = 50_000):
+def _pack(path: str, end_id: int, size: int, with_ids: bool, arrow_id: pa.DataType, rows_out: int = 20_000, bytes_out: int = 4 << 20):
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] + ["ids"] * with_ids
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = file_bpe(path)
         base = TaskContext.get().partitionId() << 32
         out: list[tuple] = []
+        waiting = 0
 
         def emit(number: int, pieces: list) -> None:
+            nonlocal waiting
             offset = 0
             for doc, start, ids, total in pieces:
                 raw = ids.astype("<u4", copy=False).tobytes()
+                waiting += len(raw) if with_ids else 0
                 out.append((doc, start, len(ids), zlib.crc32(raw), total, base + number, offset) + ((raw,) if with_ids else ()))
                 offset += len(ids)
 
         def batch() -> pa.RecordBatch:
+            nonlocal waiting
+            waiting = 0
             columns = list(zip(*out))
             kinds = [arrow_id] + [pa.int64()] * 6 + [pa.binary()] * with_ids
             made = pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(columns, kinds)], names=names)
@@ -182,11 +188,13 @@ def _pack(path: str, end_id: int, size: int, with_ids: bool, arrow_id: pa.DataTy
         packer = Packer(size, emit)
         for b in batches:
             for doc, text in zip(b.column(0), b.column(1)):
-                ids = encode(text.as_py() or "")
-                packer.add(doc.as_py(), np.append(ids, np.uint32(end_id)))
-                if len(out) >= rows_out:
+                ids = np.append(encode(text.as_py() or ""), np.uint32(end_id))
+                packer.add(doc.as_py(), ids.astype(np.uint16) if ids.max() < 1 << 16 else ids)
+                if len(out) >= rows_out or waiting >= bytes_out:
                     yield batch()
-        packer.flush()
+        for _ in packer.pour():
+            if len(out) >= rows_out or waiting >= bytes_out:
+                yield batch()
         if out:
             yield batch()
 
@@ -198,6 +206,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, size: int =
     little-endian) if asked for. Every partition packs its own documents, in their order, without a shuffle."""
     from pyspark.sql.pandas.types import to_arrow_type
 
+    bound_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType
     schema = PIECE.format(id=kind.simpleString()) + (", ids binary" if with_ids else "")
     return docs.select("doc_id", "text").mapInArrow(_pack(tokenizer, end_id, size, with_ids, to_arrow_type(kind)), schema)

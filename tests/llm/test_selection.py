@@ -167,7 +167,7 @@ def test_mix(spark, messy, block):
 def test_packer_levels_and_flush():
     rng = random.Random(2)
     windows = []
-    p = Packer(64, lambda n, pieces: windows.append(pieces), most_open=9)
+    p = Packer(64, lambda n, pieces: windows.append(pieces))
     for doc in range(500):
         n = rng.randint(1, 150)
         c = p.count.copy()
