@@ -30,10 +30,10 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
-from prismgraph.llm.common import Scratch
+from prismgraph.llm.common import Scratch, bound_batches, free_name
 
 #: Lines per Arrow batch that a task sends back.
-ROWS_OUT = 100_000
+ROWS_OUT = 20_000
 
 
 def smallest_runs(words: np.ndarray, least: int) -> np.ndarray:
@@ -82,11 +82,11 @@ def _lines(least: int, arrow_id: pa.DataType):
     return run
 
 
-def _rebuild(batches: Iterator[pa.RecordBatch], added: tuple[str, str] = ("n_lines", "n_removed")) -> Iterator[pa.RecordBatch]:
-    """Takes the runs in column `_runs` out of column `text`; adds the numbers of lines and of removed ones."""
+def _rebuild(batches: Iterator[pa.RecordBatch], added: tuple[str, str]) -> Iterator[pa.RecordBatch]:
+    """Takes the runs in the last column out of column `text`; adds the numbers of lines and of removed ones."""
     for b in batches:
-        names = b.schema.names
-        at, rows = names.index("text"), b.column(names.index("_runs")).to_pylist()
+        names = b.schema.names[:-1]
+        at, rows = names.index("text"), b.column(len(names)).to_pylist()
         texts, total, removed = b.column(at).to_pylist(), [], []
         for i, runs in enumerate(rows):
             n = 0 if texts[i] is None else texts[i].count("\n") + 1
@@ -102,8 +102,7 @@ def _rebuild(batches: Iterator[pa.RecordBatch], added: tuple[str, str] = ("n_lin
             keep = np.cumsum(gone)[:-1] == 0
             texts[i] = "\n".join(x for x, k in zip(lines, keep) if k)
             removed.append(n - int(keep.sum()))
-        columns = [pa.array(texts, b.column(at).type) if name == "text" else c for name, c in zip(names, b.columns) if name != "_runs"]
-        names = [n for n in names if n != "_runs"]
+        columns = [pa.array(texts, b.column(at).type) if i == at else b.column(i) for i in range(len(names))]
         yield pa.RecordBatch.from_arrays([*columns, pa.array(total, pa.int32()), pa.array(removed, pa.int32())], names=[*names, *added])
 
 
@@ -164,11 +163,14 @@ def repeated_runs(spark: SparkSession, docs: DataFrame, min_words: int, scratch:
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, min_words: int = 5, added: tuple[str, str] = ("n_lines", "n_removed")) -> DataFrame:
     """The columns of docs with text rid of later copies of repeated runs of lines, and n_lines, n_removed under the names `added`."""
+    bound_batches(spark)
     scratch = Scratch(spark, "lines")
     runs = repeated_runs(spark, docs, min_words, scratch)
-    gone = runs.groupBy("doc_id", "h").agg(F.collect_list(F.struct("line", "run")).alias("_runs")).withColumnsRenamed({"doc_id": "_doc", "h": "_h"})
-    gone = scratch.write(gone, "gone")
-    keyed = docs.withColumn("_hash", F.xxhash64("text"))
-    joined = keyed.join(gone, keyed["doc_id"].eqNullSafe(gone["_doc"]) & (keyed["_hash"] == gone["_h"]), "left").drop("_doc", "_h", "_hash")
+    gone = runs.groupBy("doc_id", "h").agg(F.collect_list(F.struct("line", "run")).alias("runs"))
+    gone = scratch.write(gone, "gone").alias("g")
+    scratch.keep("gone")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.xxhash64("text").alias("h")).alias("d")
+    joined = rows.join(gone, F.col("d.row.doc_id").eqNullSafe(F.col("g.doc_id")) & (F.col("d.h") == F.col("g.h")), "left")
+    joined = joined.select(*[F.col("d.row").getField(c).alias(c) for c in docs.columns], F.col("g.runs").alias(free_name(docs.columns, "_runs")))
     schema = T.StructType([*docs.schema.fields, *(T.StructField(c, T.IntegerType()) for c in added)])
     return joined.mapInArrow(lambda batches: _rebuild(batches, added), schema)
