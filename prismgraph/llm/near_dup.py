@@ -2,12 +2,14 @@
 
 1. Every text becomes its set of 64-bit hashes of five consecutive words, and 128 MinHash values of that set. Documents
    of equal sets collapse to one node with a count: copies are never paired.
-2. Bands of four MinHash values make candidates: nodes that share a band meet the smallest node of that band, and the
-   connected components of these links hold all candidate pairs (a pair at 0.8 misses all 32 bands with a chance of
-   5e-8). Pairs are never written out.
-3. A component is cut into blocks; each pair of blocks is compared in a task of its own. MinHash values are compared 16
-   at a time, and a pair is dropped once the posterior probability (uniform prior) that its similarity reaches the
-   threshold falls below the tolerance. The rest is verified on the sets themselves.
+2. Bands of four MinHash values make candidates: nodes that share a band (a pair at 0.8 misses all 32 bands with a chance
+   of 5e-8). They meet the smallest node of that band, and the connected components of these links hold all candidate
+   pairs. Pairs are never written out.
+3. A unit of work is a component or, where that takes fewer copies of sets, as in long chains of weak links, each band
+   of it that nodes share; a pair is then compared in the first band it shares. A unit is cut into blocks; each pair
+   of blocks is compared in a task of its own. MinHash values are compared 16 at a time, and a pair is dropped once the
+   posterior probability (uniform prior) that its similarity reaches the threshold falls below the tolerance. The rest
+   is verified on the sets themselves.
 4. A task returns, for each node, how many documents it is linked to, and a spanning star for each group that it found;
    the components of those are the classes.
 
@@ -29,14 +31,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from prismgraph.llm.common import Scratch
-from prismgraph.operators.components import connected_components
+from prismgraph.llm.common import Scratch, bound_batches
+from prismgraph.operators.components import connected_components, spanning
 
 HASHES, ROWS = 128, 4
 BANDS = HASHES // ROWS
 STEP = 16
-#: Tables of at most this many rows (of some 40 bytes) are broadcast; beyond it Spark chooses.
-BROADCAST_ROWS = 500_000
+#: Tables of at most this many rows (of some 200 bytes, 300 in a hash relation) are broadcast; beyond it Spark chooses.
+BROADCAST_ROWS = 100_000
 BLOCK_BYTES = 1 << 20
 _P = 0xD6E8FEB86659FD93
 
@@ -140,8 +142,8 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """text, node, comp, block, blocks, copies -> the same without text, with signature and shingles, of rows that have that node's set."""
-    names = ["node", "comp", "block", "blocks", "copies", "signature", "shingles"]
+    """text, node, copies, places -> the same without text, with signature and shingles, of rows that have that node's set."""
+    names = ["node", "copies", "places", "signature", "shingles"]
     for b in batches:
         for lo, hi, data, ends in _blocks(b.column(0)):
             sets = shingles(data, ends)
@@ -150,7 +152,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sig = signatures(sets)
             at = pa.array([lo + i for i in right], pa.int64())
             own = [pa.array([sig[i].tobytes() for i in right], pa.binary()), pa.array([sets[i].tobytes() for i in right], pa.binary())]
-            yield pa.RecordBatch.from_arrays([*(b.column(k).take(at) for k in range(1, 6)), *own], names=names)
+            yield pa.RecordBatch.from_arrays([*(b.column(k).take(at) for k in range(1, 4)), *own], names=names)
 
 
 def least_matches(threshold: float, tolerance: float) -> list[int]:
@@ -207,25 +209,21 @@ def _common_many(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, wi
     return total[np.searchsorted(used, left), np.searchsorted(used, right)].astype(np.int64)
 
 
-def _spanning(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """The smallest member of each one's group."""
-    root = np.arange(n)
-    while True:
-        low = np.minimum(root[left], root[right])
-        before = root.copy()
-        np.minimum.at(root, left, low)
-        np.minimum.at(root, right, low)
-        root = root[root]
-        if (root == before).all():
-            return root
+def first_shared_band(sig: np.ndarray, left: np.ndarray, right: np.ndarray, at: int, width: int = 1 << 14) -> np.ndarray:
+    """Which of the pairs share no band before number `at`."""
+    out = np.ones(len(left), bool)
+    for lo in range(0, len(left) if at else 0, width):
+        a, b = sig[left[lo : lo + width], : at * ROWS], sig[right[lo : lo + width], : at * ROWS]
+        out[lo : lo + width] = ~(a == b).reshape(len(a), at, ROWS).all(2).any(1)
+    return out
 
 
 def _compare(threshold: float, tolerance: float):
     need = least_matches(threshold, tolerance)
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        _, i, j = key
-        rows = rows.drop_duplicates("node").sort_values("node", kind="stable").reset_index(drop=True)
+        _, at, i, j = key
+        rows = rows.sort_values("node", kind="stable").reset_index(drop=True)
         sig = np.frombuffer(b"".join(rows["signature"]), np.uint32).reshape(len(rows), HASHES)
         sets = [np.frombuffer(s, np.uint64) for s in rows["shingles"]]
         if i == j:
@@ -234,10 +232,13 @@ def _compare(threshold: float, tolerance: float):
             block = rows["block"].to_numpy()
             a, b = np.flatnonzero(block == i), np.flatnonzero(block == j)
             left, right = np.repeat(a, len(b)), np.tile(b, len(a))
+        if at > 0:
+            fresh = first_shared_band(sig, left, right, int(at))
+            left, right = left[fresh], right[fresh]
         left, right = linked_pairs(sig, sets, left, right, threshold, need)
         copies = rows["copies"].to_numpy(np.int64)
         links = np.bincount(left, copies[right], len(rows)) + np.bincount(right, copies[left], len(rows))
-        root = _spanning(len(rows), left, right)
+        root = spanning(len(rows), left, right)
         some = links > 0
         node = rows["node"]
         return pd.DataFrame({"node": node[some], "links": links[some].astype(np.int64), "hub": node.iloc[root[some]].to_numpy()})
@@ -245,46 +246,71 @@ def _compare(threshold: float, tolerance: float):
     return run
 
 
+def _places(banded: DataFrame, hubs: DataFrame, members: DataFrame, block: int, scratch: Scratch) -> DataFrame:
+    """node, places: the units of work that a node is compared in, as (unit, at, blocks); `at` is -1 for a component and
+    the band's number for a band. Either way costs as many copies of each set as its unit has blocks; the cheaper is taken."""
+    cut = lambda n: F.ceil(F.col(n) / F.lit(block))
+    whole = members.groupBy("comp").agg(F.count(F.lit(1)).alias("size"))
+    bands = hubs.join(members, hubs["hub"] == members["node"]).groupBy("comp").agg(F.sum(F.col("n") * cut("n")).alias("copies"))
+    plan = whole.join(bands, "comp").select("comp", cut("size").cast("int").alias("blocks"), ((F.col("size") > block) & (F.col("copies") < F.col("size") * cut("size"))).alias("by_band"))
+    plan = scratch.write(plan, "plan")
+    place = lambda unit, at, blocks: F.struct(unit.alias("unit"), at.alias("at"), blocks.cast("int").alias("blocks"))
+    out = members.join(plan.filter("not by_band"), "comp").select("node", F.array(place(F.col("comp"), F.lit(-1), F.col("blocks"))).alias("places"))
+    chains = plan.filter("by_band")
+    if not chains.isEmpty():
+        mine = banded.join(members.join(chains.select("comp"), "comp").select("node"), "node", "left_semi").join(hubs, "band")
+        mine = mine.select("node", place(F.encode(F.col("band").cast("string"), "utf-8"), F.col("at"), cut("n")).alias("p"))
+        out = out.unionByName(mine.groupBy("node").agg(F.collect_list("p").alias("places")))  # at most one for each band
+    return out
+
+
 def jaccard_join(
     spark: SparkSession, docs: DataFrame, threshold: float = 0.8, tolerance: float = 1e-7, block: int = 256, with_first: bool = False
 ) -> DataFrame:
     """One row per document: doc_id, text_hash, class_id (smallest doc_id of all that links connect), n_links (documents of similarity
     threshold or more, copies included), n_copies (documents of the same set, itself included), copy_id (the smallest).
     `with_first` adds class_first: no_id, doc_id, text_hash of the smallest of the class, ids first; null for a text without words."""
+    bound_batches(spark)
     scratch = Scratch(spark, "near")
     kind = docs.schema["doc_id"].dataType
     texts = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.coalesce("text", F.lit("")).alias("text"))
     signed = scratch.write(texts.mapInArrow(_sign, f"doc_id {kind.simpleString()}, text_hash long, node binary, signature binary"), "signed")
-    first = [F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("first")] if with_first else []
-    nodes = signed.filter("node is not null").groupBy("node").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("copy_id"), F.any_value("signature").alias("signature"), *first)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("first")
+    nodes = signed.filter("node is not null").groupBy("node").agg(F.count(F.lit(1)).alias("copies"), F.any_value("signature").alias("signature"), first)
     nodes = scratch.write(nodes, "nodes")
 
-    band = F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, F.substring(F.col("signature"), b * (4 * ROWS) + 1, F.lit(4 * ROWS)))))
-    banded = nodes.select("node", band.alias("band"))
-    hubs = banded.groupBy("band").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    band = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, F.substring(F.col("signature"), b * (4 * ROWS) + 1, F.lit(4 * ROWS)))))
+    banded = nodes.select("node", band.alias("at", "band"))
+    hubs = scratch.write(banded.groupBy("band").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "hubs")
     met = banded.join(hubs, "band").filter(F.col("node") != F.col("hub")).select(F.col("node").alias("a"), F.col("hub").alias("b"))
     stars = connected_components(met, scratch.write, scratch.drop, "candidates")
 
-    whole = stars.select("node", F.col("root").alias("comp")).unionByName(stars.select(F.col("root").alias("node"), F.col("root").alias("comp")).distinct())
-    sizes = whole.groupBy("comp").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("blocks"))
-    placed = whole.join(sizes, "comp").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    placed = scratch.write(placed.join(nodes.select("node", "copies", "copy_id"), "node"), "placed")
+    members = stars.select("node", F.col("root").alias("comp")).unionByName(stars.select(F.col("root").alias("node"), F.col("root").alias("comp")).distinct())
+    members = scratch.write(members, "members")
+    placed = _places(banded, hubs, members, block, scratch).join(nodes.select("node", "copies", "first"), "node")
+    placed = scratch.write(placed, "placed")
     few = placed.count() <= BROADCAST_ROWS
     chosen = (F.broadcast(placed) if few else placed).alias("p")
-    found = texts.alias("d").join(chosen, F.col("d.doc_id").eqNullSafe(F.col("p.copy_id"))).select("d.text", "p.node", "p.comp", "p.block", "p.blocks", "p.copies")
-    sets = found.mapInArrow(_sets, "node binary, comp binary, block int, blocks int, copies long, signature binary, shingles binary")
+    same = F.col("d.doc_id").eqNullSafe(F.col("p.first.doc_id")) & (F.col("d.text_hash") == F.col("p.first.text_hash"))
+    # rows that repeat id and text, of which there may be very many, become one before anything else is done with them
+    found = texts.alias("d").join(chosen, same).select("d.text", "p.node", "p.copies", "p.places").dropDuplicates(["node"])
+    place = "places array<struct<unit:binary,at:int,blocks:int>>"
+    sets = found.mapInArrow(_sets, f"node binary, copies long, {place}, signature binary, shingles binary")
+    sets = sets.withColumn("p", F.explode("places")).select("node", "copies", "signature", "shingles", "p.unit", "p.at", "p.blocks")
+    sets = sets.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     paired = sets.withColumn("other", other).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("other", "blocks")
-    compared = paired.groupBy("comp", "i", "j").applyInPandas(_compare(threshold, tolerance), "node binary, links long, hub binary")
+    compared = paired.groupBy("unit", "at", "i", "j").applyInPandas(_compare(threshold, tolerance), "node binary, links long, hub binary")
     compared = scratch.write(compared, "compared")
 
     links = compared.groupBy("node").agg(F.sum("links").alias("links"))
     groups = connected_components(compared.select(F.col("node").alias("a"), F.col("hub").alias("b")), scratch.write, scratch.drop, "classes")
-    carried = ["first"] if with_first else []
-    facts = nodes.select("node", "copies", "copy_id", *carried).join(groups, "node", "left").join(links, "node", "left")
-    facts = facts.select("node", "copies", "copy_id", F.coalesce("root", "node").alias("root"), F.coalesce("links", F.lit(0)).alias("links"), *carried)
-    classes = facts.groupBy("root").agg(F.min("copy_id").alias("class_id"), *(F.min(c).alias("class_first") for c in carried))
-    facts = scratch.write(facts.join(classes, "root").drop("root", *carried), "facts")
+    facts = nodes.select("node", "copies", "first").join(groups, "node", "left").join(links, "node", "left")
+    facts = facts.select("node", "copies", "first", F.coalesce("root", "node").alias("root"), F.coalesce("links", F.lit(0)).alias("links"))
+    classes = facts.groupBy("root").agg(F.min("first").alias("class_first"))
+    facts = facts.join(classes, "root").select("node", "copies", "links", F.col("first.doc_id").alias("copy_id"), F.col("class_first.doc_id").alias("class_id"), *(["class_first"] if with_first else []))
+    facts = scratch.write(facts, "facts")
+    scratch.keep("signed", "facts")
     out = signed.select("doc_id", "text_hash", "node").join(facts, "node", "left")
     return out.select(
         "doc_id",
@@ -302,18 +328,19 @@ def keep_one_each(spark: SparkSession, docs: DataFrame, threshold: float = 0.8)
 
     Documents that lack an id go where their class has one with an id; where it has none, one of them stays. Texts without
     words are classes of their own: of those without an id all stay."""
-    joined = Scratch(spark, "keep").write(jaccard_join(spark, docs, threshold, with_first=True), "joined")
-    keyed = docs.withColumn("_hash", F.xxhash64("text")).alias("d")
+    scratch = Scratch(spark, "keep")
+    joined = scratch.write(jaccard_join(spark, docs, threshold, with_first=True), "joined")
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    keyed = docs.select(whole, F.col("doc_id").alias("id"), F.xxhash64("text").alias("h")).alias("d")
 
     def matching(rows: DataFrame, how: str, left: DataFrame) -> DataFrame:
         rows = F.broadcast(rows) if rows.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else rows
-        rows = rows.alias("r")
-        return left.join(rows, F.col("d.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("d._hash") == F.col("r.text_hash")), how)
+        return left.join(rows.alias("r"), F.col("d.id").eqNullSafe(F.col("r.doc_id")) & (F.col("d.h") == F.col("r.text_hash")), how)
 
     own = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
     gone = joined.filter(F.col("class_first").isNotNull() & (F.col("class_first") != own)).select("doc_id", "text_hash").distinct()
     out = matching(gone, "left_anti", keyed)
     again = joined.filter("doc_id is not null or class_first is not null").groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     if not again.isEmpty():
-        out = matching(again, "left_anti", out).unionByName(matching(again, "left_semi", out).dropDuplicates(["doc_id", "_hash"]))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+        out = matching(again, "left_anti", out).unionByName(matching(again, "left_semi", out).dropDuplicates(["id", "h"]))
+    return out.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
