@@ -11,12 +11,12 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from prismgraph.llm.common import Scratch, free_name
+from prismgraph.llm.common import Scratch, bound_batches, free_name
 from prismgraph.llm.line_dedup import dedup_lines
 from prismgraph.llm.mixing import apply_mix, mix_sources
 from prismgraph.llm.near_dup import keep_one_each
 from prismgraph.llm.packing import pack_documents
-from prismgraph.llm.quality import held_out, score_quality, train
+from prismgraph.llm.quality import held_out, score_column, train
 
 THRESHOLD = 0.7
 
@@ -24,8 +24,8 @@ THRESHOLD = 0.7
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a quality score of at least 0.7; the others go."""
     model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), "quality", learn=~held_out(), sample=4096)
-    score = free_name(docs.columns, "score")
-    return score_quality(spark, docs, model, docs.columns, score).filter(F.col(score) >= THRESHOLD).drop(score)
+    bound_batches(spark)
+    return docs.filter(score_column(spark, model, F.col("text")) >= THRESHOLD)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
