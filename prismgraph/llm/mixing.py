@@ -49,7 +49,8 @@ def targets(sizes: Sequence[float], weights: Sequence[float], share: float = 1.5
         for i in full:
             out[i] = cap * sizes[i]
             left -= out[i]
-        open_ = [i for i in open_ if i not in set(full)]
+        gone = set(full)
+        open_ = [i for i in open_ if i not in gone]
     return out
 
 
