@@ -1,24 +1,32 @@
-"""Checking graphs against declarations, and inferring a declaration, as DataFrame plans.
+"""Checking graphs against declarations, and inferring a declaration.
 
-Violations are rows (gid, at, problem). Declarations are small tables that join by broadcast; the graphs' relations stay
-where their unit is, and group by (gid, node), so no group is larger than one node's facts or children.
+Every rule is local to a graph and a graph is one row, so a check is a single pass without a shuffle: keys, kinds and
+names go to Python as flat Arrow columns, values stay behind, and violations (gid, at, problem) come back. Inferring is a
+few aggregations, whose results are as small as a declaration.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from functools import reduce
+from collections import Counter, defaultdict
+from collections.abc import Iterator, Mapping
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prismgraph import wire
-from prismgraph.errors import CatalogError
+from prismgraph.errors import CatalogError, CycleDetected
+from prismgraph.operators.kernel import closing_node, components
 from prismgraph.plans.declaration import ChildDecl, Declaration, EdgeDecl, FieldDecl
+from prismgraph.scratch import Scratch
 
 VALUE_NAMES = {"text": "Text", "bool": "Bool", "u64": "U64", "i64": "I64", "bytes": "Bytes"}
 OCCURS_NAMES = {"one": "One", "optional": "Optional", "many": "Many"}
 SHAPE_NAMES = {"seq": "Seq", "set": "Set", "one": "One"}
+VIOLATION = "gid string, at string, problem string"
+
+Found = Iterator[tuple[str | None, str]]
 
 
 class Relations:
@@ -45,88 +53,213 @@ class Relations:
         return self.nodes.select("gid", "key", "kind").join(self.children.select("gid", F.col("child").alias("key")).distinct(), ["gid", "key"], "left_anti")
 
 
-def _row(at: Column | None, *parts: Column | str) -> list[Column]:
-    text = F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
-    return [F.col("gid"), (F.lit(None).cast("string") if at is None else at).alias("at"), text.alias("problem")]
-
+class Graph:
+    """What the rules read of a graph: nodes (key, kind, facts), children (parent, label, ordinal, child), edges (source,
+    label, target, role, facts on it)."""
 
-def _union(parts: Sequence[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, parts)
+    def __init__(self, nodes: list[tuple], children: list[tuple], edges: list[tuple]):
+        self.nodes, self.children, self.edges = nodes, children, edges
+        self.kind = {key: kind for key, kind, _ in nodes}
 
 
-def structure_violations(r: Relations) -> DataFrame:
+def broken(g: Graph) -> Found:
     """A key twice, an edge or child without its nodes, facts on an edge that isn't an origin."""
-    key = F.col("key")
-    out = [r.nodes.groupBy("gid", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(*_row(key, "node key occurs ", F.col("n").cast("string"), " times"))]
-    known = r.nodes.select("gid", "key").distinct()
-    for table, ends in ((r.children, ("parent", "child")), (r.edges, ("source", "target"))):
-        for end in ends:
-            out.append(table.select("gid", F.col(end).alias("key")).join(known, ["gid", "key"], "left_anti").select(*_row(key, f"{end} is not a node of the graph")))
-    out.append(r.edges.filter((F.col("role") != "origin") & (F.size("fields") > 0)).select(*_row(F.col("source"), "only origin edges may hold fields")))
-    return _union(out)
-
-
-def declared_violations(r: Relations, d: Declaration) -> DataFrame:
-    """Kinds, fields, children, roots and edges that the declaration doesn't allow. All units must be of its recipe."""
-    spark = r.units.sparkSession
-    small = lambda rows, schema: F.broadcast(spark.createDataFrame(rows, schema))  # noqa: E731  as large as the declaration
-    kinds = small([(k,) for k, _ in d.kinds], "kind string")
-    fields = small([(k, f.name, list(f.dimensions), f.value, f.occurs) for k, fs in d.kinds for f in fs], "node_kind string, name string, dims array<string>, value string, occurs string")
-    groups = small([(p, c.label, list(c.children), c.shape, c.optional) for c in d.children for p in c.parents], "parent_kind string, label string, kinds array<string>, shape string, optional boolean")
-    edges = small([(s, t, x.role, x.label, x.prefix) for x in d.edges for s in x.sources for t in x.targets], "source_kind string, target_kind string, role string, pattern string, prefix boolean")
-    key = F.col("key")
-    named = lambda c, names: reduce(lambda acc, kv: F.when(F.col(c) == kv[0], kv[1]).otherwise(acc), names.items(), F.col(c))
-    out = [r.nodes.join(kinds, "kind", "left_anti").select(*_row(key, "kind `", F.col("kind"), "` is not declared"))]
-
-    own = r.fields.join(kinds.withColumnRenamed("kind", "node_kind"), "node_kind", "left_semi").join(fields, ["node_kind", "name"], "left")
-    out.append(own.filter("occurs is null").select(*_row(key, "field `", F.col("name"), "` is not declared on `", F.col("node_kind"), "`")))
-    known = own.filter("occurs is not null")
-    out.append(known.filter(~F.array_contains("dims", F.col("dimension"))).select(*_row(key, "field `", F.col("name"), "` is in ", F.col("dimension"), ", not a declared dimension")))
-    out.append(known.filter("value_kind <> value").select(*_row(key, "field `", F.col("name"), "` holds ", named("value_kind", VALUE_NAMES), ", declared ", named("value", VALUE_NAMES))))
-    counts = r.fields.groupBy("gid", "key", "name").agg(F.count(F.lit(1)).alias("n"))
-    expected = r.nodes.select("gid", "key", F.col("kind").alias("node_kind")).join(fields.filter("occurs <> 'many'"), "node_kind").join(counts, ["gid", "key", "name"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    wrong = expected.filter("(occurs = 'one' and n <> 1) or (occurs = 'optional' and n > 1)")
-    out.append(wrong.select(*_row(key, "field `", F.col("name"), "` occurs ", F.col("n").cast("string"), " times, declared ", named("occurs", OCCURS_NAMES))))
-
-    typed = r.typed_children().join(groups, ["parent_kind", "label"], "left")
-    parent = F.col("parent")
-    out.append(typed.filter("shape is null").select(*_row(parent, "`", F.col("parent_kind"), "` may not have children labelled `", F.col("label"), "`")))
-    typed = typed.filter("shape is not null")
-    out.append(typed.filter(~F.array_contains("kinds", F.col("child_kind"))).select(*_row(parent, "child `", F.col("child_kind"), "` under `", F.col("parent_kind"), "` -", F.col("label"), "-> is not declared")))
-    ordinals = typed.groupBy("gid", "parent", "parent_kind", "label", "shape").agg(F.sort_array(F.collect_list("ordinal")).alias("o"))
-    n = F.size("o")
-    fits = F.when(F.col("shape") == "seq", F.col("o") == F.sequence(F.lit(0).cast("long"), (n - 1).cast("long"))).when(F.col("shape") == "set", F.col("o")[n - 1] == 0).otherwise((n == 1) & (F.col("o")[0] == 0))
-    listed = F.concat(F.lit("["), F.array_join(F.col("o").cast("array<string>"), ", "), F.lit("]"))
-    out.append(ordinals.filter(~fits).select(*_row(parent, "children -", F.col("label"), "-> have ordinals ", listed, ", declared ", named("shape", SHAPE_NAMES))))
-    needed = groups.filter("shape = 'one' and not optional").select(F.col("parent_kind").alias("kind"), "label")
-    lacking = r.nodes.select("gid", "key", "kind").join(needed, "kind").join(ordinals.select("gid", F.col("parent").alias("key"), "label"), ["gid", "key", "label"], "left_anti")
-    out.append(lacking.select(*_row(key, "`", F.col("kind"), "` has no child -", F.col("label"), "->, declared required")))
+    if len(g.kind) < len(g.nodes):
+        for key, n in Counter(key for key, _, _ in g.nodes).items():
+            if n > 1:
+                yield key, f"node key occurs {n} times"
+    for parent, _, _, child in g.children:
+        for end, key in (("parent", parent), ("child", child)):
+            if key not in g.kind:
+                yield key, f"{end} is not a node of the graph"
+    for source, _, target, role, facts in g.edges:
+        for end, key in (("source", source), ("target", target)):
+            if key not in g.kind:
+                yield key, f"{end} is not a node of the graph"
+        if role != "origin" and facts:
+            yield source, "only origin edges may hold fields"
+
+
+def fits(shape: str, ordinals: list[int]) -> bool:
+    """Whether sorted ordinals are 0, 1, .. (seq), all 0 (set), or one 0 (one)."""
+    if shape == "seq":
+        return ordinals == list(range(len(ordinals)))
+    return not any(ordinals) and (shape == "set" or len(ordinals) == 1)
+
+
+class Rules:
+    """A declaration, laid out for look-ups."""
+
+    def __init__(self, d: Declaration):
+        self.roots, self.single_root, self.acyclic = set(d.roots), d.single_root, d.acyclic
+        self.fields = {kind: {f.name: f for f in fields} for kind, fields in d.kinds}
+        self.counted = {kind: [f for f in fields if f.occurs != "many"] for kind, fields in d.kinds}
+        self.groups = {(p, c.label): c for c in d.children for p in c.parents}
+        self.required: dict[str, list[str]] = defaultdict(list)
+        for c in d.children:
+            for p in set(c.parents):
+                if c.shape == "one" and not c.optional:
+                    self.required[p].append(c.label)
+        self.patterns: dict[tuple, list[EdgeDecl]] = defaultdict(list)
+        for x in d.edges:
+            for s in x.sources:
+                for t in x.targets:
+                    self.patterns[s, t, x.role].append(x)
+
+    def violations(self, g: Graph) -> Found:
+        yield from self.of_nodes(g)
+        yield from self.of_children(g)
+        yield from self.of_edges(g)
+        if self.acyclic != "no":
+            at = closing_node(list(g.kind), arcs(g, self.acyclic == "children_and_dependency"))
+            if at is not None:
+                yield at, str(CycleDetected(at))
+
+    def of_nodes(self, g: Graph) -> Found:
+        for key, kind, facts in g.nodes:
+            if kind not in self.fields:
+                yield key, f"kind `{kind}` is not declared"
+                continue
+            known, counts = self.fields[kind], Counter()
+            for dimension, name, value in facts:
+                counts[name] += 1
+                f = known.get(name)
+                if f is None:
+                    yield key, f"field `{name}` is not declared on `{kind}`"
+                    continue
+                if dimension not in f.dimensions:
+                    yield key, f"field `{name}` is in {dimension}, not a declared dimension"
+                if value != f.value:
+                    yield key, f"field `{name}` holds {VALUE_NAMES.get(value, value)}, declared {VALUE_NAMES[f.value]}"
+            for f in self.counted[kind]:
+                n = counts[f.name]
+                if n > 1 or f.occurs == "one" and not n:
+                    yield key, f"field `{f.name}` occurs {n} times, declared {OCCURS_NAMES[f.occurs]}"
+
+    def of_children(self, g: Graph) -> Found:
+        ordinals: dict[tuple, list[int]] = defaultdict(list)
+        for parent, label, ordinal, child in g.children:
+            kind = g.kind[parent]
+            group = self.groups.get((kind, label))
+            if group is None:
+                yield parent, f"`{kind}` may not have children labelled `{label}`"
+                continue
+            if g.kind[child] not in group.children:
+                yield parent, f"child `{g.kind[child]}` under `{kind}` -{label}-> is not declared"
+            ordinals[parent, label].append(ordinal)
+        for (parent, label), found in ordinals.items():
+            shape = self.groups[g.kind[parent], label].shape
+            if not fits(shape, sorted(found)):
+                yield parent, f"children -{label}-> have ordinals {sorted(found)}, declared {SHAPE_NAMES[shape]}"
+        for key, kind, _ in g.nodes:
+            for label in self.required.get(kind, ()):
+                if (key, label) not in ordinals:
+                    yield key, f"`{kind}` has no child -{label}->, declared required"
+        below = {child for _, _, _, child in g.children}
+        roots = [(key, kind) for key, kind, _ in g.nodes if key not in below]
+        if self.single_root and len(roots) != 1:
+            yield None, f"{len(roots)} roots, declared exactly one"
+        for key, kind in roots:
+            if kind not in self.roots:
+                yield key, f"`{kind}` may not be a root"
+
+    def of_edges(self, g: Graph) -> Found:
+        for source, label, target, role, _ in g.edges:
+            s, t = g.kind[source], g.kind[target]
+            if role != "origin" and not any(x.matches(label) for x in self.patterns.get((s, t, role), ())):
+                yield source, f"edge `{s}` -{label}-> `{t}` ({role}) is not declared"
+
+
+def arcs(g: Graph, dependencies: bool) -> list[tuple[str, str]]:
+    out = [(parent, child) for parent, _, _, child in g.children]
+    return out + [(s, t) for s, _, t, role, _ in g.edges if dependencies and role == "dependency"]
+
+
+# --- units as flat columns -----------------------------------------------------------------------------------------
+
+
+def _lean(units: DataFrame) -> DataFrame:
+    """gid, recipe and the graph without the values of its facts."""
+    fact = lambda f: F.struct(f["dimension"].alias("d"), f["name"].alias("n"), f["kind"].alias("k"))
+    nodes = F.transform("nodes", lambda n: F.struct(n["key"].alias("key"), n["kind"].alias("kind"), F.transform(n["fields"], fact).alias("facts")))
+    edges = F.transform("edges", lambda x: F.struct(x["source"].alias("s"), x["label"].alias("l"), x["target"].alias("t"), x["role"].alias("r"), F.size(x["fields"]).alias("n")))
+    return units.select(F.col("gid").cast("string").alias("gid"), "recipe", nodes.alias("nodes"), "children", edges.alias("edges"))
+
+
+def _split(lists: pa.Array) -> tuple[np.ndarray, list[pa.Array]]:
+    """Bounds of each list, and the columns of the structs in them."""
+    ends = np.concatenate([[0], np.cumsum(np.diff(lists.offsets.to_numpy(zero_copy_only=False)) * ~np.asarray(lists.is_null()))])
+    return ends, lists.flatten().flatten()
+
+
+def _graphs(b: pa.RecordBatch) -> Iterator[tuple[str, str, Graph]]:
+    """gid, recipe and graph of every row, made from flat columns."""
+    at, (keys, kinds, facts) = _split(b.column(2))
+    fact_at, fact_columns = _split(facts)
+    facts = list(zip(*(c.to_pylist() for c in fact_columns)))
+    nodes = list(zip(keys.to_pylist(), kinds.to_pylist(), (facts[a:z] for a, z in zip(fact_at[:-1], fact_at[1:]))))
+    child_at, columns = _split(b.column(3))
+    children = list(zip(*(c.to_pylist() for c in columns)))
+    edge_at, columns = _split(b.column(4))
+    edges = list(zip(*(c.to_pylist() for c in columns)))
+    for i, (gid, recipe) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist())):
+        yield gid, recipe, Graph(nodes[at[i] : at[i + 1]], children[child_at[i] : child_at[i + 1]], edges[edge_at[i] : edge_at[i + 1]])
+
+
+def _check(declarations: Mapping[str, Declaration]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rules = {recipe: Rules(d) for recipe, d in declarations.items()}
+        for b in batches:
+            out: list[tuple] = []
+            for gid, recipe, g in _graphs(b):
+                if recipe not in rules:
+                    out.append((gid, None, f"no declaration for recipe {recipe}"))
+                wrong = list(broken(g))
+                if not wrong and recipe in rules:
+                    wrong = list(rules[recipe].violations(g))
+                out += [(gid, *w) for w in wrong]
+            columns = list(zip(*out)) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], names=["gid", "at", "problem"])
+
+    return run
+
+
+def check_units(units: DataFrame, declarations: Mapping[str, Declaration]) -> DataFrame:
+    """Violations (gid, at, problem) of units by the declarations of their recipes; an unknown recipe is one, too.
 
-    roots = r.roots()
-    if d.single_root:
-        found = r.units.select("gid").join(roots.groupBy("gid").agg(F.count(F.lit(1)).alias("n")), "gid", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-        out.append(found.filter("n <> 1").select(*_row(None, F.col("n").cast("string"), " roots, declared exactly one")))
-    out.append(roots.filter(~F.col("kind").isin(list(d.roots))).select(*_row(key, "`", F.col("kind"), "` may not be a root")))
-
-    labelled = r.typed_edges().filter("role <> 'origin'").withColumn("edge", F.monotonically_increasing_id())
-    match = (F.col("prefix") & F.col("label").startswith(F.col("pattern"))) | (~F.col("prefix") & (F.col("label") == F.col("pattern")))
-    allowed = labelled.alias("l").join(edges.alias("d"), ["source_kind", "target_kind", "role"], "left")
-    undeclared = allowed.withColumn("ok", F.coalesce(match, F.lit(False))).groupBy("gid", "edge", "source", "source_kind", "label", "target_kind", "role").agg(F.max("ok").alias("ok")).filter("not ok")
-    out.append(undeclared.select(*_row(F.col("source"), "edge `", F.col("source_kind"), "` -", F.col("label"), "-> `", F.col("target_kind"), "` (", F.col("role"), ") is not declared")))
-    return _union(out)
-
-
-def cyclic_nodes(r: Relations, dependencies: bool, write=None) -> DataFrame:
-    """gid, key of nodes that lie on or between cycles of children (and dependencies): leaves are trimmed until none is left.
-
-    A node that nothing comes out of, or nothing goes into, is on no cycle. Each round is one anti-join each way."""
-    from prismgraph.scratch import Scratch
-
-    edges = r.children.select("gid", F.col("parent").alias("s"), F.col("child").alias("t"))
-    if dependencies:
-        edges = edges.unionByName(r.edges.filter("role = 'dependency'").select("gid", F.col("source").alias("s"), F.col("target").alias("t")))
-    scratch = Scratch(r.units.sparkSession, "cycles")
-    now, at = scratch.write(edges.distinct(), "0"), 0
+    A graph whose structure is broken is reported for that alone. One scan of the units, no shuffle."""
+    return _lean(units).mapInArrow(_check(dict(declarations)), VIOLATION)
+
+
+# --- cycles --------------------------------------------------------------------------------------------------------
+
+
+def on_cycles(edges: list[tuple]) -> set:
+    """The nodes that lie on a cycle of (source, target) edges: those of a component of several, or with an edge to themselves."""
+    keys = sorted({x for e in edges for x in e})
+    at = {k: i for i, k in enumerate(keys)}
+    follow: list[set[int]] = [set() for _ in keys]
+    for s, t in edges:
+        follow[at[s]].add(at[t])
+    comp = components([sorted(x) for x in follow])
+    size = Counter(comp)
+    return {k for i, k in enumerate(keys) if size[comp[i]] > 1 or i in follow[i]}
+
+
+def _cyclic(key: tuple, rows: pa.Table) -> pa.Table:
+    found = sorted(on_cycles(list(zip(rows["s"].to_pylist(), rows["t"].to_pylist()))))
+    return pa.table({"gid": pa.array([key[0].as_py()] * len(found), rows["gid"].type), "key": pa.array(found, rows["s"].type)})
+
+
+def cyclic_nodes(edges: DataFrame) -> DataFrame:
+    """gid, key of the nodes that lie on a cycle of edges (gid, s, t), for graphs of very many edges.
+
+    Rounds of joins trim what nothing comes out of, or nothing goes into; of the edges that are left, those on or between
+    cycles, each graph's components are found in one task. A round is one anti-join each way, and there are as many as the
+    longest path beside the cycles has nodes."""
+    kinds = {f.name: f.dataType.simpleString() for f in edges.schema}
+    scratch = Scratch(edges.sparkSession, "cycles")
+    now, at = scratch.write(edges.select("gid", "s", "t").distinct(), "0"), 0
     size = now.count()
     while size:
         inner = now.join(now.select("gid", F.col("s").alias("t")).distinct(), ["gid", "t"], "left_semi")
@@ -137,26 +270,10 @@ def cyclic_nodes(r: Relations, dependencies: bool, write=None) -> DataFrame:
         if left == size:
             break
         size = left
-    return now.select("gid", F.explode(F.array("s", "t")).alias("key")).distinct()
+    return now.select("gid", "s", "t").groupBy("gid").applyInArrow(_cyclic, f"gid {kinds['gid']}, key {kinds['s']}")
 
 
-def check_units(units: DataFrame, declarations: dict[str, Declaration]) -> DataFrame:
-    """Violations (gid, at, problem) of units by the declarations of their recipes; an unknown recipe is one, too.
-
-    A graph whose structure is broken is reported for that alone."""
-    spark: SparkSession = units.sparkSession
-    known = list(declarations)
-    out = [units.filter(~F.col("recipe").isin(known)).select(*_row(None, "no declaration for recipe ", F.col("recipe")))]
-    broken = structure_violations(Relations(units))
-    out.append(broken)
-    whole = units.join(broken.select("gid").distinct(), "gid", "left_anti")
-    for recipe, d in declarations.items():
-        r = Relations(whole.filter(F.col("recipe") == recipe))
-        out.append(declared_violations(r, d))
-        if d.acyclic != "no":
-            out.append(cyclic_nodes(r, d.acyclic == "children_and_dependency").groupBy("gid").agg(F.min("key").alias("at")).select("gid", "at", F.concat(F.lit("cycle through `"), "at", F.lit("`")).alias("problem")))
-    del spark
-    return _union(out)
+# --- inference -----------------------------------------------------------------------------------------------------
 
 
 def infer_declaration(units: DataFrame, recipe: str) -> Declaration:

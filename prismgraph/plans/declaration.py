@@ -39,6 +39,9 @@ class EdgeDecl:
     targets: tuple[str, ...]
     role: str
 
+    def matches(self, label: str) -> bool:
+        return label.startswith(self.label) if self.prefix else label == self.label
+
 
 @dataclass(frozen=True)
 class Declaration:
