@@ -15,9 +15,9 @@ from pyspark.sql.window import Window
 from prismgraph import wire
 from prismgraph.operators import claims as c
 from prismgraph.operators import queries as q
-from prismgraph.operators.check import Relations, check_units, cyclic_nodes, infer_declaration
+from prismgraph.operators.check import check_units, cyclic_nodes, infer_declaration
 from prismgraph.operators.exact import exact_column
-from prismgraph.operators.hashing import hash_units, with_address
+from prismgraph.operators.hashing import filled_kinds, hash_units, with_address
 from prismgraph.plans.declaration import ChildDecl, Declaration, FieldDecl
 from prismgraph.plans.view import apply_view, parse_view, reachable
 from prismgraph.scratch import Scratch
@@ -45,9 +45,12 @@ def _hashed(units: DataFrame, modes: tuple[str, ...] = ("shape",), dimensions: d
     and to as many tasks as keep UNITS_EACH."""
     spark = units.sparkSession
     scratch = Scratch(spark, "hashed")
-    filed = scratch.write(units.withColumns({"artifact_id": F.concat("recipe", F.lit(":all")), "world": F.lit("tables"), "batch": F.lit("tables:all")}), "units")
+    filed = units.withColumns({"artifact_id": F.concat("recipe", F.lit(":all")), "world": F.lit("tables"), "batch": F.lit("tables:all")})
+    filed = scratch.write(filed, "units")
     tasks = max(spark.sparkContext.defaultParallelism, -(-filed.count() // UNITS_EACH))
-    return scratch.write(hash_units(filed.repartition(tasks), dimensions or DIMENSIONS, modes), "digests")
+    out = scratch.write(hash_units(filed.repartition(tasks), dimensions or DIMENSIONS, modes), "digests")
+    scratch.keep("digests")
+    return out
 
 
 def _hashed_orders(spark: SparkSession, sf: str, dims: tuple[str, ...] = DIMENSIONS["trade.order/1"]) -> DataFrame:
@@ -79,13 +82,13 @@ def dedup_order(spark: SparkSession, sf: str) -> DataFrame:
 
 def facets_order(spark: SparkSession, sf: str) -> DataFrame:
     """Every facet of the filled dimensions from one set of stored digests."""
-    stored = Scratch(spark, "facets").write(_hashed_orders(spark, sf), "digests")
-    dims = DIMENSIONS["trade.order/1"]
+    stored = _hashed_orders(spark, sf)
+    dims, kinds = DIMENSIONS["trade.order/1"], filled_kinds(stored)
     out = None
     for n in range(1, len(dims) + 1):
         for some in combinations(dims, n):
             facet = "+".join(some)
-            one = with_address(stored, facet).agg(F.lit(facet).alias("facet"), F.count(F.lit(1)).alias("considered"), F.count_distinct("address").alias("classes"))
+            one = with_address(stored, facet, kinds=kinds).agg(F.lit(facet).alias("facet"), F.count(F.lit(1)).alias("considered"), F.count_distinct("address").alias("classes"))
             out = one if out is None else out.unionByName(one)
     return out
 
@@ -112,13 +115,13 @@ def diff_conversation(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def digest_index_order(spark: SparkSession, sf: str) -> DataFrame:
-    rows = q.digest_index(_hashed_orders(spark, sf, ("structure",)))
-    return rows.select("dimension", F.size("graph_keys").cast("long").alias("graphs"), F.split(F.col("graph_keys")[0], wire.SEPARATOR)[2].alias("first_order"))
+    rows = q.index_sizes(q.digest_index(_hashed_orders(spark, sf, ("structure",))))
+    return rows.select("dimension", "graphs", F.split("first", wire.SEPARATOR)[2].alias("first_order"))
 
 
 def facet_index_conversation(spark: SparkSession, sf: str) -> DataFrame:
-    rows = q.facet_index(_hashed(p.conversation_units(_table(spark, sf, "conversations"))), "structure+constants")
-    return rows.select(F.size("graph_keys").cast("long").alias("graphs"), F.split(F.col("graph_keys")[0], wire.SEPARATOR)[2].alias("first_conversation"))
+    rows = q.index_sizes(q.facet_index(_hashed(p.conversation_units(_table(spark, sf, "conversations"))), "structure+constants"))
+    return rows.select("graphs", F.split("first", wire.SEPARATOR)[2].alias("first_conversation"))
 
 
 STRICT = Declaration(
@@ -148,28 +151,19 @@ def infer_order(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame(rows, "kind string, item string, what string, holds string, occurs string")
 
 
-def _function_graph(spark: SparkSession, sf: str) -> DataFrame:
-    """One unit in which part k has the child (k * k + size) modulo 1999: cycles with trees that lead to them."""
-    parts = _table(spark, sf, "part")
-    key = lambda x: p.node_key("part", "parts", x)
+def _steps(spark: SparkSession, sf: str) -> DataFrame:
+    """One graph in which part k has an edge to (k * k + size) modulo 1999: cycles with trees that lead to them."""
     step = (F.col("p_partkey") * F.col("p_partkey") + F.col("p_size")) % 1999
-    there = parts.select(step.alias("k")).unionByName(parts.select(F.col("p_partkey").alias("k"))).distinct()
-    nodes = there.agg(F.collect_list(p.node(key(F.col("k")), "part")).alias("nodes"))
-    links = parts.agg(F.collect_list(p.child(key(F.col("p_partkey")), "to", F.lit(0), key(step))).alias("children"))
-    return nodes.crossJoin(links).select(F.lit("parts").alias("gid"), "nodes", "children", p.no_edges().alias("edges"))  # one row each
+    return _table(spark, sf, "part").select(F.lit("parts").alias("gid"), F.col("p_partkey").cast("long").alias("s"), step.cast("long").alias("t"))
 
 
 def acyclic_parts(spark: SparkSession, sf: str) -> DataFrame:
-    unit = Scratch(spark, "cyclic").write(_function_graph(spark, sf), "unit")
-    found = cyclic_nodes(Relations(unit), False)
-    return found.select(F.element_at(F.split("key", wire.SEPARATOR), 3).cast("long").alias("part"))
+    return cyclic_nodes(_steps(spark, sf)).select(F.col("key").alias("part"))
 
 
 def reachable_parts(spark: SparkSession, sf: str) -> DataFrame:
-    parts = _table(spark, sf, "part")
-    edges = parts.select(F.lit("parts").alias("gid"), F.col("p_partkey").alias("s"), ((F.col("p_partkey") * F.col("p_partkey") + F.col("p_size")) % 1999).alias("t"))
     roots = spark.range(1, 4).select(F.lit("parts").alias("gid"), F.col("id").alias("key"))
-    return reachable(edges, roots).select(F.col("key").alias("part"))
+    return reachable(_steps(spark, sf), roots).select(F.col("key").alias("part"))
 
 
 def _address(x: Column) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Iterable, Sequence
 from functools import lru_cache
 
 from prismgraph import wire
-from prismgraph.errors import CatalogError
+from prismgraph.errors import CatalogError, EmptyFacet, UnsupportedVersion
 from prismgraph.functions.blake3 import blake3, blake3_many
 
 u32 = struct.Struct("<I").pack
@@ -78,7 +78,7 @@ def dimensions_key(dimensions: Iterable[str]) -> str:
 @lru_cache(maxsize=4096)
 def policy_id(recipe: str, keys: str, schema_version: int = wire.SCHEMA_VERSION) -> bytes:
     if schema_version != wire.SCHEMA_VERSION:
-        raise CatalogError(f"schema version {schema_version} is not supported, this is {wire.SCHEMA_VERSION}")
+        raise UnsupportedVersion(f"schema version {schema_version} is not supported, this is {wire.SCHEMA_VERSION}")
     if keys not in wire.MODES.values():
         raise CatalogError(f"unknown key mode `{keys}`")
     return meta("policy", u32(schema_version) + text(recipe) + text(keys))
@@ -92,7 +92,7 @@ def _facet_id(policy: bytes, dimensions: tuple[str, ...]) -> bytes:
 def facet_id(policy: bytes, dimensions: Iterable[str]) -> bytes:
     dims = sorted_dimensions(dimensions)
     if not dims:
-        raise CatalogError("a facet needs at least one dimension")
+        raise EmptyFacet("a facet needs at least one dimension")
     return _facet_id(policy, dims)
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prismgraph import wire
-from prismgraph.errors import ClaimError
+from prismgraph.errors import ClaimError, LookupFacetMismatch
 from prismgraph.functions import encode as e
 from prismgraph.operators.components import connected_components
 from prismgraph.scratch import Scratch
@@ -87,21 +87,23 @@ def with_representative(rows: DataFrame, claims: DataFrame, assume: Iterable[byt
 
 
 def supporting_claims(claims: DataFrame, assume: Iterable[bytes] = ()) -> DataFrame:
-    """facet_id, class, claim_ids (sorted): what a merged class rests on."""
+    """facet_id, class, claim_id: what a merged class rests on, a row for each claim."""
     named = in_force(claims, assume).select("facet_id", F.col("left").alias("address"), "claim_id")
-    return with_representative(named, claims, assume).groupBy("facet_id", "class").agg(F.array_sort(F.collect_set("claim_id")).alias("claim_ids"))
+    return with_representative(named, claims, assume).select("facet_id", "class", "claim_id").distinct()
 
 
-def gated_lookup(index: DataFrame, claims: DataFrame, facet_id: bytes, address: bytes, assume: Iterable[bytes] = ()) -> dict:
-    """What an address finds by itself and, separately, through claims: direct keys, other addresses' keys, the claims."""
+def gated_lookup(index: DataFrame, claims: DataFrame, facet_id: bytes, address: bytes, assume: Iterable[bytes] = ()) -> tuple[DataFrame, DataFrame]:
+    """What an address finds by itself and, separately, through claims: via (direct, claims), address, graph_key; and the
+    claim_id of each claim that its class rests on."""
     if not index.filter(F.col("facet_id") != F.lit(bytearray(facet_id))).isEmpty():
-        raise ClaimError("the index is of another facet")
+        raise LookupFacetMismatch("the index is of another facet")
+    spark = claims.sparkSession
     here = claims.filter(F.col("facet_id") == F.lit(bytearray(facet_id)))
-    known = with_representative(index, here, assume)
-    mine = with_representative(claims.sparkSession.createDataFrame([(facet_id, address)], "facet_id binary, address binary"), here, assume).first()["class"]
-    found = {bytes(r["address"]): r["graph_keys"] for r in known.filter(F.col("class") == F.lit(mine)).collect()}
-    ids = supporting_claims(here, assume).filter(F.col("class") == F.lit(mine)).first()
-    return {"direct": found.pop(address, []), "via_claims": found, "claims": [bytes(x) for x in ids["claim_ids"]] if ids else []}
+    asked = spark.createDataFrame([(facet_id, address)], "facet_id binary, address binary")
+    mine = F.broadcast(with_representative(asked, here, assume).select("class"))  # one row
+    found = with_representative(index, here, assume).join(mine, "class")
+    via = F.when(F.col("address") == F.lit(bytearray(address)), "direct").otherwise("claims")
+    return found.select(via.alias("via"), "address", "graph_key"), supporting_claims(here, assume).join(mine, "class").select("claim_id")
 
 
 def permitted(attestations: DataFrame, property: str) -> DataFrame:

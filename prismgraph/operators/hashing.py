@@ -98,17 +98,22 @@ def row_dimensions(wanted: Sequence[str], filled: Sequence[str], recipe: str) ->
     return wanted
 
 
-def with_address(digests: DataFrame, facet: str | None, name: str = "address") -> DataFrame:
+def filled_kinds(digests: DataFrame) -> list:
+    """recipe, policy_id and filled dimensions of all rows: one row for each recipe, key mode and set of dimensions."""
+    return digests.select("recipe", "policy_id", F.array_sort(F.map_keys("digests")).alias("filled")).distinct().collect()
+
+
+def with_address(digests: DataFrame, facet: str | None, name: str = "address", kinds: list | None = None) -> DataFrame:
     """Adds facet_id and the digest of each row's address at a facet (None: at all dimensions that the row has).
 
     Facets are resolved per recipe, key mode and set of filled dimensions, which are few, and joined back as literals of
     the message; where the mixed-pairs mask flags the facet, the stored joint digest is used, and its lack is an error.
+    For several facets of the same rows `kinds` is their `filled_kinds`, found once.
     """
     spark = digests.sparkSession
     wanted = None if facet is None else resolve_facet(facet)
-    kinds = digests.select("recipe", "policy_id", F.array_sort(F.map_keys("digests")).alias("filled")).distinct().collect()
     rows = []
-    for k in kinds:
+    for k in filled_kinds(digests) if kinds is None else kinds:
         dims = row_dimensions(wanted, k["filled"], k["recipe"]) if wanted is not None else e.sorted_dimensions(k["filled"])
         fid = e.facet_id(bytes(k["policy_id"]), dims)
         parts = [(d, e.text(d)) for d in dims]

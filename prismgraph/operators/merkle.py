@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from prismgraph.functions import encode as e
 from prismgraph.functions.blake3 import blake3_many
+from prismgraph.operators.ranks import numbered
 from prismgraph.scratch import Scratch
 
 #: Leaves of a block that one task reduces; blocks are aligned, so their roots are nodes of the whole tree.
@@ -35,15 +36,8 @@ def set_root(digests: DataFrame, column: str, alone: int = ALONE, block: int = B
     if len(first) <= alone:
         return e.set_root(first), len(first)
     scratch = Scratch(digests.sparkSession, "root")
-    tagged = leaves.repartitionByRange("leaf").sortWithinPartitions("leaf").withColumn("id", F.monotonically_increasing_id())
-    tagged = scratch.write(tagged, "sorted").withColumn("part", F.shiftrightunsigned("id", 33)).withColumn("row", F.col("id").bitwiseAND((1 << 33) - 1))
-    sizes = sorted((r["part"], r["count"]) for r in tagged.groupBy("part").count().collect())  # one row per partition
-    starts, total = [], 0
-    for part, n in sizes:
-        starts.append((part, total))
-        total += n
-    offsets = F.broadcast(digests.sparkSession.createDataFrame(starts, "part long, start long"))
-    ranked = tagged.join(offsets, "part").select("leaf", (F.col("start") + F.col("row")).alias("at"))
+    ranked = scratch.write(numbered(leaves, ["leaf"], "at", scratch), "ranked")
+    total = ranked.count()
     blocks = ranked.groupBy(F.floor(F.col("at") / block).alias("block")).applyInPandas(_block, "block long, root binary")
     roots = [bytes(r["root"]) for r in sorted(blocks.collect(), key=lambda r: r["block"])]  # one row per 65,536 leaves
     scratch.drop()

@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from prismgraph import wire
-from prismgraph.errors import CatalogError, RootMismatch
+from prismgraph.errors import CatalogError, PolicyMismatch, RootMismatch
 from prismgraph.operators.claims import permitted, with_representative
 from prismgraph.operators.hashing import with_address
 from prismgraph.operators.merkle import set_root
+from prismgraph.operators.ranks import numbered
+from prismgraph.scratch import Scratch
 
 
 def selects(selector: str, owner: str = "world", name: str = "name", artifact: str | None = "artifact_id") -> Column:
@@ -54,44 +56,73 @@ def classed(
     return with_representative(rows, claims, assume), excluded
 
 
+def first_names(rows: DataFrame, by: list[str], keep: int) -> DataFrame:
+    """by, n_names (distinct ones), names (the `keep` smallest): no list is longer than that, and tasks send no more on."""
+    pairs = rows.filter("name is not null").select(*by, "name").distinct()
+    some = pairs.withColumn("_i", F.row_number().over(Window.partitionBy(*by).orderBy("name"))).filter(F.col("_i") <= keep)
+    some = some.groupBy(*by).agg(F.array_sort(F.collect_list("name")).alias("names"))
+    return pairs.groupBy(*by).agg(F.count(F.lit(1)).alias("n_names")).join(some, by)
+
+
+def _with_names(classes: DataFrame, names: DataFrame, prefix: str = "") -> DataFrame:
+    named = names.select("class", F.col("n_names").alias(f"{prefix}n_names"), F.col("names").alias(f"{prefix}names"))
+    out = classes.join(named, "class", "left")
+    return out.withColumns({f"{prefix}n_names": F.coalesce(f"{prefix}n_names", F.lit(0)), f"{prefix}names": F.coalesce(f"{prefix}names", F.array().cast("array<string>"))})
+
+
+def capped(names: Column, total: Column, width: int = 56) -> Column:
+    """Names on one line of some width, the rest of the total counted."""
+    start = F.struct(F.lit("").alias("line"), F.lit(0).alias("n"), F.lit(True).alias("open"))
+
+    def add(line: Column, name: Column) -> Column:
+        first = line["n"] == 0
+        goes = line["open"] & (first | (F.length(line["line"]) + F.length(name) + 2 <= width))
+        longer = F.when(first, name).otherwise(F.concat(line["line"], F.lit(", "), name))
+        return F.struct(F.when(goes, longer).otherwise(line["line"]).alias("line"), (line["n"] + goes.cast("int")).alias("n"), goes.alias("open"))
+
+    made = F.aggregate(names, start, add)
+    return F.when(made["n"] < total, F.concat(made["line"], F.lit(" (+"), (total - made["n"]).cast("string"), F.lit(")"))).otherwise(made["line"])
+
+
 def bucket(digests: DataFrame, unit: str, mode: str, facet: str, min_size: int = 2, top: int | None = 25, sample: int = 4, **gates) -> tuple[DataFrame, DataFrame]:
-    """Classes of a population at a facet: class, size, artifacts, names (sorted, distinct), members (a sample), largest
-    first; and one summary row: considered, classes, dedup_percent, excluded."""
+    """Classes of a population at a facet: class, size, artifacts, n_names, names (the first of them), members (names and a
+    count of the others), largest first if only `top` of them are asked for; and one summary row: considered, classes,
+    dedup_percent, excluded."""
     rows = digests.filter((F.col("population") == unit) & (F.col("mode") == mode))
     rows, excluded = classed(rows, facet, **gates)
-    classes = rows.groupBy("class").agg(F.count(F.lit(1)).alias("size"), F.count_distinct("artifact_id").alias("artifacts"), F.array_sort(F.collect_set("name")).alias("names"))
+    left_out = (excluded or rows.limit(0)).agg(F.count(F.lit(1)).alias("excluded"))
+    rows = Scratch(digests.sparkSession, "bucket").write(rows.select("class", "name", "artifact_id"), "rows")
+    classes = rows.groupBy("class").agg(F.count(F.lit(1)).alias("size"), F.count_distinct("artifact_id").alias("artifacts"))
     summary = classes.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("considered"), F.count(F.lit(1)).alias("classes"))
     percent = F.when(F.col("considered") == 0, F.lit(0.0)).otherwise(100.0 * (1.0 - F.col("classes") / F.col("considered")))
-    left_out = (excluded or rows.limit(0)).agg(F.count(F.lit(1)).alias("excluded"))
     summary = summary.withColumn("dedup_percent", percent).crossJoin(F.broadcast(left_out))  # one row each
-    more = F.when(F.size("names") > sample, F.concat(F.lit(" (+"), (F.size("names") - sample).cast("string"), F.lit(")"))).otherwise(F.lit(""))
-    shown = classes.filter(F.col("size") >= min_size).withColumn("members", F.concat(F.array_join(F.slice("names", 1, sample), ", "), more))
-    shown = shown.orderBy(F.desc("size"), "class")
-    return (shown.limit(top) if top is not None else shown), summary
-
-
-def overlap(digests: DataFrame, unit: str, mode: str, facet: str, left: Column, right: Column, **gates) -> tuple[DataFrame, DataFrame]:
-    """Classes that two selections share: class, a_size, b_size, a_names, b_names; and one row: a, b, shared, jaccard."""
+    shown = classes.filter(F.col("size") >= min_size)
+    if top is not None:
+        shown = shown.orderBy(F.desc("size"), "class").limit(top)
+    shown = _with_names(shown, first_names(rows.join(shown.select("class"), "class", "left_semi"), ["class"], sample))
+    more = F.when(F.col("n_names") > sample, F.concat(F.lit(" (+"), (F.col("n_names") - sample).cast("string"), F.lit(")"))).otherwise(F.lit(""))
+    shown = shown.withColumn("members", F.concat(F.array_join("names", ", "), more))
+    return (shown if top is None else shown.orderBy(F.desc("size"), "class")), summary
+
+
+def overlap(digests: DataFrame, unit: str, mode: str, facet: str, left: Column, right: Column, width: int = 56, **gates) -> tuple[DataFrame, DataFrame]:
+    """Classes that two selections share: class, a_size, b_size, a_names, b_names (the first of them), a_members, b_members
+    (names on a line of some width, the others counted); and one row: a, b, shared, jaccard."""
     rows = digests.filter((F.col("population") == unit) & (F.col("mode") == mode)).withColumn("_a", left).withColumn("_b", right).filter("_a or _b")
     rows, _ = classed(rows, facet, **gates)
-    side = lambda c: F.sum(F.col(c).cast("int"))
-    names = lambda c: F.array_sort(F.collect_set(F.when(F.col(c), F.col("name"))))
-    classes = rows.groupBy("class").agg(side("_a").alias("a_size"), side("_b").alias("b_size"), names("_a").alias("a_names"), names("_b").alias("b_names"))
+    rows = Scratch(digests.sparkSession, "overlap").write(rows.select("class", "name", F.col("_a").alias("a"), F.col("_b").alias("b")), "rows")
+    side = lambda c: F.sum(F.col(c).cast("int")).alias(f"{c}_size")
+    classes = rows.groupBy("class").agg(side("a"), side("b"))
     both = (F.col("a_size") > 0) & (F.col("b_size") > 0)
     total = classes.agg(F.sum((F.col("a_size") > 0).cast("long")).alias("a"), F.sum((F.col("b_size") > 0).cast("long")).alias("b"), F.sum(both.cast("long")).alias("shared"), F.count(F.lit(1)).alias("_any"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
     total = total.select(zero("a"), zero("b"), zero("shared"), F.when(F.col("_any") == 0, F.lit(0.0)).otherwise(F.col("shared") / F.col("_any")).alias("jaccard"))
-    return classes.filter(both).orderBy("class"), total
-
-
-def capped_names(names: list[str], width: int = 56) -> str:
-    """Names on one line of some width, the rest counted."""
-    out = ""
-    for i, n in enumerate(names):
-        if i and len(out) + len(n) + 2 > width:
-            return f"{out} (+{len(names) - i})"
-        out += (", " if i else "") + n
-    return out
+    shared = classes.filter(both)
+    mine = rows.join(shared.select("class"), "class", "left_semi")
+    for c in ("a", "b"):  # a line holds no more than one name each three characters
+        shared = _with_names(shared, first_names(mine.filter(c), ["class"], width // 3 + 2), f"{c}_")
+        shared = shared.withColumn(f"{c}_members", capped(F.col(f"{c}_names"), F.col(f"{c}_n_names"), width))
+    return shared, total
 
 
 def normalised_name(name: str = "name") -> Column:
@@ -99,10 +130,13 @@ def normalised_name(name: str = "name") -> Column:
     return F.regexp_replace(F.col(name), "^(.*)_[0-9]+$", "$1")
 
 
-def _picked(rows: DataFrame) -> DataFrame:
+def picked(rows: DataFrame) -> DataFrame:
     """mode, key, digests: the normalised name where it is alone; else the name, then name#2, name#3 by (name, graph key, batch)."""
-    group = Window.partitionBy("mode", "norm")
-    rows = rows.withColumn("norm", normalised_name()).withColumn("n", F.count(F.lit(1)).over(group)).withColumn("i", F.row_number().over(group.orderBy("name", "graph_key", "batch")))
+    scratch = Scratch(rows.sparkSession, "names")
+    order = ["mode", "norm", "name", "graph_key", "batch"]
+    ranked = scratch.write(numbered(rows.withColumn("norm", normalised_name()).select(*order, "digests"), order, "at", scratch), "ranked")
+    groups = scratch.write(ranked.groupBy("mode", "norm").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("low")), "groups")
+    rows = ranked.join(groups, ["mode", "norm"]).withColumn("i", F.col("at") - F.col("low") + 1)
     key = F.when(F.col("n") == 1, F.col("norm")).when(F.col("i") == 1, F.col("name")).otherwise(F.concat("name", F.lit("#"), F.col("i").cast("string")))
     # two names may still meet at one key: the last one counts
     return rows.withColumn("key", key).groupBy("mode", "key").agg(F.max_by("digests", F.struct("norm", "i")).alias("digests"))
@@ -112,8 +146,8 @@ def diff(digests: DataFrame, unit: str, left: Column, right: Column, name: str |
     """name, mode, dimension, a, b, same: digests of two selections by name; a side that lacks the name shows absent."""
     rows = digests.filter(F.col("population") == unit)
     rows = rows.filter(F.col("name").contains(name)) if name else rows
-    a = _picked(rows.filter(left)).withColumnRenamed("digests", "da")
-    b = _picked(rows.filter(right)).withColumnRenamed("digests", "db")
+    a = picked(rows.filter(left)).withColumnRenamed("digests", "da")
+    b = picked(rows.filter(right)).withColumnRenamed("digests", "db")
     both = a.join(b, ["mode", "key"], "full_outer")
     dims = F.explode(F.when(F.col("da").isNull() | F.col("db").isNull(), F.array(F.lit("-"))).otherwise(F.array(*map(F.lit, wire.DIMENSIONS)))).alias("dimension")
     both = both.select("mode", "key", "da", "db", dims)
@@ -137,13 +171,18 @@ def root(digests: DataFrame, unit: str | None = None, mode: str | None = None, c
 
 
 def digest_index(digests: DataFrame, policy_id: bytes | None = None) -> DataFrame:
-    """dimension, digest, graph_keys (sorted, distinct). All rows must be of one policy, if it is given."""
+    """dimension, digest, graph_key, each once: the graphs of a digest are rows. All must be of one policy, if it is given."""
     if policy_id is not None and not digests.filter(F.col("policy_id") != F.lit(bytearray(policy_id))).isEmpty():
-        raise CatalogError("the index holds rows of another policy")
-    flat = digests.select("graph_key", F.explode("digests").alias("dimension", "digest"))
-    return flat.groupBy("dimension", "digest").agg(F.array_sort(F.collect_set("graph_key")).alias("graph_keys"))
+        raise PolicyMismatch("the index holds rows of another policy")
+    return digests.select(F.explode("digests").alias("dimension", "digest"), "graph_key").distinct()
 
 
 def facet_index(digests: DataFrame, facet: str) -> DataFrame:
-    """facet_id, address, graph_keys (sorted, distinct)."""
-    return with_address(digests, facet).groupBy("facet_id", "address").agg(F.array_sort(F.collect_set("graph_key")).alias("graph_keys"))
+    """facet_id, address, graph_key, each once."""
+    return with_address(digests, facet).select("facet_id", "address", "graph_key").distinct()
+
+
+def index_sizes(index: DataFrame) -> DataFrame:
+    """For each key of an index the number of its graphs, and the first of them."""
+    keys = [c for c in index.columns if c != "graph_key"]
+    return index.groupBy(*keys).agg(F.count(F.lit(1)).alias("graphs"), F.min("graph_key").alias("first"))

@@ -17,7 +17,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from prismgraph import wire
-from prismgraph.errors import CatalogError
+from prismgraph.errors import CatalogError, DuplicateNode, EmptyName, InvalidName, NodeKeyMismatch
 from prismgraph.operators.kernel import Graph
 
 FIELD = "struct<dimension:string,name:string,kind:string,text:string,num:decimal(20,0),bytes:binary>"
@@ -33,9 +33,9 @@ UNIT = f"recipe string, population string, name string, status string, {GRAPH}"
 def name(x, what: str) -> str:
     """A name isn't empty and doesn't hold the separator of canonical keys."""
     if not isinstance(x, str) or not x:
-        raise CatalogError(f"empty {what}")
+        raise EmptyName(f"empty {what}")
     if wire.SEPARATOR in x:
-        raise CatalogError(f"{what} holds U+001F")
+        raise InvalidName(f"{what} holds U+001F")
     return x
 
 
@@ -113,10 +113,10 @@ def parse_graph(g: dict) -> dict:
     for k, n in pairs(g["nodes"], "nodes"):
         key = node_key(k)
         if node_key(n["key"]) != key:
-            raise CatalogError(f"node `{key}` is stored under another key")
+            raise NodeKeyMismatch(f"node `{key}` is stored under another key")
         nodes.append({"key": key, "kind": name(n["kind"], "node kind"), "fields": [_field(f) for f in n.get("fields", [])]})
     if len({n["key"] for n in nodes}) < len(nodes):
-        raise CatalogError("a node key occurs twice")
+        raise DuplicateNode("a node key occurs twice")
     children = []
     for c in g.get("children", []):
         if not isinstance(c["ordinal"], int) or not 0 <= c["ordinal"] < 2**32:
@@ -173,7 +173,7 @@ def to_graph(row: dict) -> Graph:
     nodes: dict[str, tuple[str, list]] = {}
     for n in row["nodes"]:
         if n["key"] in nodes:
-            raise CatalogError(f"node `{n['key']}` occurs twice")
+            raise DuplicateNode(f"node `{n['key']}` occurs twice")
         nodes[n["key"]] = (n["kind"], [fact(f) for f in n["fields"]])
     return Graph(nodes, [(c["parent"], c["label"], c["ordinal"], c["child"]) for c in row["children"]], [(x["source"], x["label"], x["target"], x["role"]) for x in row["edges"]])
 
