@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prismgraph.errors import CatalogError
+from prismgraph.sources.table import json_lines, table_lines
 
 
 def _witness(text: list[str]) -> tuple[str, list[tuple[str, str]]]:
@@ -61,12 +62,8 @@ def parser() -> argparse.ArgumentParser:
 
 
 def show(rows: DataFrame, as_json: bool) -> None:
-    readable = [F.lower(F.hex(c)).alias(c) if t == "binary" else F.col(c) for c, t in rows.dtypes]
-    rows = rows.select(*readable)
-    if as_json:
-        print(json.dumps([{k: "" if v is None else str(v) for k, v in r.asDict().items()} for r in rows.collect()]))
-    else:
-        rows.show(rows.count() or 1, truncate=False)
+    for line in json_lines(rows) if as_json else table_lines(rows):
+        print(line)
 
 
 def main(args: list[str] | None = None, spark: SparkSession | None = None) -> int:
@@ -90,7 +87,7 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
             from pyspark.sql.window import Window
 
             first = found.withColumn("n", F.row_number().over(Window.partitionBy("gid").orderBy("at", "problem"))).filter("n <= 5").drop("n")
-            show(first, a.json)
+            show(first.orderBy("gid", "at", "problem"), a.json)
             print(f"{units.count()} units checked, {broken} break")
             return int(broken > 0)
         elif a.command == "recipes":
@@ -109,6 +106,7 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
                 rows = rows.select("class", "size", "artifacts", "members")
             else:
                 rows, summary = corpus.overlap(a.unit, a.mode, a.facet, a.left, a.right, **gates)
+                rows = rows.select("class", "a_size", "a_members", "b_size", "b_members").orderBy("class")
             show(rows, a.json)
             if not a.json:
                 show(summary, False)

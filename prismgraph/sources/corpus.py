@@ -36,14 +36,9 @@ SCHEMAS = {
 }
 
 
-def file_safe(label: str) -> str:
-    """A label as a file name: readable, and distinct for distinct labels."""
-    readable = "".join(x if x.isascii() and x.isalnum() or x in "-." else "_" for x in label[:80])
-    return f"{readable}-{hashlib.sha256(label.encode()).hexdigest()[:10]}"
-
-
 def artifact_id(owner: str, origin: str, variant: bool = False) -> str:
-    return hashlib.sha256(owner.encode() + b"\x1f" + origin.encode() + bytes([variant])).hexdigest()[:16]
+    """Of an owner's input: 16 hexadecimal digits that tell origins, and a variant of the same one, apart."""
+    return hashlib.sha256(f"{owner}{wire.SEPARATOR}{origin}".encode() + bytes([variant])).hexdigest()[:16]
 
 
 def origin_hash(origin: str) -> str:
@@ -78,14 +73,15 @@ class Corpus:
         out = out.filter(F.col("population") == unit) if unit else out
         return out.filter(F.col("mode") == mode) if mode else out
 
-    def graphs(self, recipe: str | None = None, selector: str = "", unit: str | None = None, name: str | None = None) -> DataFrame:
-        """Graph rows by recipe, selector (over the owner of the graph's entity), population and name, in their order."""
+    def graphs(self, recipe: str | None = None, selector: str = "", unit: str | None = None, name: str | None = None, ordered: bool = False) -> DataFrame:
+        """Graph rows by recipe, selector (over the owner of the graph's entity), population and name; in their order if asked."""
         out = self.table("graphs").withColumn("_owner", q.graph_owner())
         out = out.filter(F.col("recipe") == recipe) if recipe else out
         out = out.filter(q.selects(selector, owner="_owner")) if selector else out
         out = out.filter(F.col("population") == unit) if unit else out
         out = out.filter(F.col("name") == name) if name else out
-        return out.drop("_owner").orderBy("artifact_id", "population", "name", "graph_key")
+        out = out.drop("_owner")
+        return out.orderBy("artifact_id", "population", "name", "graph_key") if ordered else out
 
     def claims(self) -> DataFrame:
         return c.supported(self.table("claims")).dropDuplicates(["claim_id"])
@@ -122,7 +118,7 @@ class Corpus:
         batch = batch_id(world, scope)
         scratch = Scratch(self.spark, "admit")
         columns = [x for x in StructType.fromDDL(SCHEMAS["graphs"]).names if x in units.columns or x in ("artifact_id", "world", "batch")]
-        staged = units.withColumns({"artifact_id": F.lit(batch), "world": F.lit(world), "batch": F.lit(batch)}).select(*columns)
+        staged = units.withColumns({"artifact_id": F.lit(artifact_id(world, scope)), "world": F.lit(world), "batch": F.lit(batch)}).select(*columns)
         staged = scratch.write(staged, "units")
         again = staged.groupBy("recipe", "population", "graph_key").agg(F.count(F.lit(1)).alias("n"), F.min("name").alias("name")).filter("n > 1").first()
         if again:
@@ -133,7 +129,7 @@ class Corpus:
             listed = "; ".join(f"{r['at'].replace(wire.SEPARATOR, '/') + ': ' if r['at'] else ''}{r['problem']}" for r in first)
             raise BrokenUnits(f"{scope}: {listed}", [tuple(r) for r in first])
         digests = scratch.write(hash_units(staged, self.declarations.fills()).select(*StructType.fromDDL(SCHEMAS["digests"]).names), "digests")
-        artifact = self.spark.createDataFrame([(batch, world, scope, "units", False, None, world, batch)], SCHEMAS["artifacts"])
+        artifact = self.spark.createDataFrame([(artifact_id(world, scope), world, origin_hash(scope), "units", False, None, scope, batch)], SCHEMAS["artifacts"])
         self.replace("artifacts", batch, artifact)
         self.replace("graphs", batch, staged)
         self.replace("digests", batch, digests)
@@ -152,16 +148,24 @@ class Corpus:
             raise CatalogError(f"no graph at recipe `{view.input}` matched `{selector}`")
         scratch = Scratch(self.spark, "view")
         before = scratch.write(source, "input")
-        batch = F.concat(F.lit(f"view:{view.plan_id().hex()[:16]}:"), F.sha2(F.concat_ws(wire.SEPARATOR, "artifact_id", "population", "name", "graph_key"), 256).substr(1, 16))
+        batch = F.concat(F.lit(f"view:{view.plan_id().hex()[:16]}:"), F.sha2("batch", 256).substr(1, 16))  # one for each of the input's
         made = apply_view(view, before.withColumn("batch", batch)).withColumn("population", F.lit(f"view:{view.name}"))
         made = scratch.write(made.withColumn("world", q.graph_owner()), "graphs")
         digests = scratch.write(hash_units(made, {"*": view.dimensions}).select(*StructType.fromDDL(SCHEMAS["digests"]).names), "digests")
-        # dynamic overwrite touches the batches that are there; every input graph is one
-        for table, rows in (("graphs", made.select(*StructType.fromDDL(SCHEMAS["graphs"]).names)), ("digests", digests)):
-            rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(f"{self.path}/{table}")
-        addresses = with_address(digests, "+".join(view.dimensions)).groupBy("batch").pivot("mode", list(wire.MODES)).agg(F.first(F.lower(F.hex("address"))))
-        sizes = made.select("batch", "world", "name", "graph_key", F.size("nodes").alias("output_nodes"))
-        return sizes.join(addresses.withColumnsRenamed({"identity": "identity_address", "shape": "shape_address"}), "batch")
+        for table, rows in (("graphs", made), ("digests", digests)):
+            self._renew(table, rows.select(*StructType.fromDDL(SCHEMAS[table]).names), scratch)
+        row = ["batch", "artifact_id", "name", "graph_key"]
+        addresses = with_address(digests, "+".join(view.dimensions)).groupBy(*row).pivot("mode", list(wire.MODES)).agg(F.first(F.lower(F.hex("address"))))
+        sizes = made.select("batch", "artifact_id", "world", "name", "graph_key", F.size("nodes").alias("output_nodes"))
+        return sizes.join(addresses.withColumnsRenamed({"identity": "identity_address", "shape": "shape_address"}), row)
+
+    def _renew(self, table: str, rows: DataFrame, scratch: Scratch) -> None:
+        """Replaces what rows' batches hold of the same graphs and keeps their other rows; dynamic overwrite touches no other batch."""
+        batches = F.broadcast(rows.select("batch").distinct())  # one for each batch of the input
+        same = ["batch", "population", "artifact_id", "name", "graph_key"]
+        kept = self.table(table).join(batches, "batch", "left_semi").join(rows.select(*same).distinct(), same, "left_anti")
+        whole = scratch.write(rows.unionByName(kept), f"whole-{table}")
+        whole.repartition("batch").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(f"{self.path}/{table}")
 
     # --- assertions ------------------------------------------------------------------------------------------------
 
@@ -197,7 +201,7 @@ class Corpus:
 
     def bucket(self, unit: str, mode: str, facet: str, claims: bool = False, assume: tuple = (), require: str | None = None, **how) -> tuple[DataFrame, DataFrame]:
         if self.digests(unit, mode).isEmpty():
-            raise CatalogError(f"no digest rows for unit `{unit}` mode `{mode}`: admit something first")
+            raise CatalogError(f"no digest rows for unit `{unit}` mode `{mode}`: nothing was admitted under them")
         return q.bucket(self.digests(), unit, mode, facet, **how, **self._gates(claims, list(assume), require))
 
     def overlap(self, unit: str, mode: str, facet: str, left: str, right: str, claims: bool = False, assume: tuple = (), require: str | None = None) -> tuple[DataFrame, DataFrame]:
