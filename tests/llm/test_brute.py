@@ -67,9 +67,9 @@ def test_scores_are_the_cosine_votes_of_all_labelled_rows(spark, messy):
 def test_chains_of_weak_links_are_compared_within_bands(spark, block, monkeypatch):
     rng = random.Random(3)
     words = [f"w{rng.randrange(10**6)}" for _ in range(60 * 40)]
-    data = [(i, " ".join(words[i * 40 : i * 40 + 90]), None) for i in range(55)]  # each shares half with the next
+    data = [(i, " ".join(words[i * 25 : i * 25 + 90]), None) for i in range(70)]  # each shares much with the next, too little to link
     data += [(100 + i, " ".join([*words[500:700], f"y{i}"]), None) for i in range(9)]  # all alike
-    data += [(200, data[3][1], None), (201, " ".join([*words[120:209], "z"]), None)]
+    data += [(200, data[3][1], None), (201, " ".join([*words[75:164], "z"]), None)]
     seen = []
     places = near_dup._places
 
