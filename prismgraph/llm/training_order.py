@@ -1,18 +1,21 @@
 """Training-order materialisation: token sequences at global slots of a keyed permutation, in fixed-stride shards.
 
-Every partition tokenises its documents once, joins them to one stream with an end token after each, and cuts the stream
-into sequences of `length` ids. A sequence has an index: its number in the partition after the room that a first pass
-over the text lengths sets aside for the partitions before (a byte-level token covers a byte at least). A Feistel
-network with cycle-walking permutes all indexes. Ranges of permuted indexes are the shards: a shuffle brings each range
-to one task, which sorts it and writes one file of records of one length. Indexes without a sequence leave no gap, as
-slots are numbered by the order of the records; the manifest has the first slot of each shard. Slot s of a shard lies at
-byte (s - first) * stride, so a reader resumes anywhere with one seek.
+Documents are tokenised where they lie and dealt into chunks by a hash of id and text; a chunk's documents, in the order
+of (id, hash of the text), are joined to one stream with an end token after each, which is cut into sequences of `length`
+ids. A sequence has an index: its number in the chunk after the room that a first pass over the text lengths sets aside
+for the chunks before (a byte-level token covers a byte at least). Chunks, room and order depend on the rows alone, so
+neither files nor partitions nor cores change where a sequence comes. A Feistel network with cycle-walking permutes all
+indexes. Ranges of permuted indexes are the shards: a shuffle brings each range to one task, which sorts it and writes
+one file of records of one length. Indexes without a sequence leave no gap, as slots are numbered by the order of the
+records; the manifest has the first slot of each shard. Slot s of a shard lies at byte (s - first) * stride, so a reader
+resumes anywhere with one seek. Ids are compressed on both their ways.
 
 A record: index u64, ids in use u32, `length` ids u16 or u32, all little-endian, and one newline, which
 is the separator of Spark's text writer: it writes to any file system that Spark knows, bytes as they are.
 
-Defined results: a null or empty text is its end token; rows that repeat come as often as they do; only the last
-sequence of a partition may be padded, with zeros; an empty table gives no shards.
+Defined results: a null or empty text is its end token; rows that repeat come as often as they do, those that repeat
+both id and text in one chunk; documents without an id come first in their chunk; only the last sequence of a chunk may
+be padded, with zeros; an empty table gives no shards; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,16 +26,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from prismgraph.llm.common import buckets
+from prismgraph.llm.common import bound_batches, buckets
 from prismgraph.llm.packing import file_bpe
 
 HEAD = "<QI"
 HEAD_SIZE = struct.calcsize(HEAD)
 ROUNDS = 6
+#: The finest chunks that are counted; their number, a power of two, is lowered to what the text needs.
+FINEST = 1 << 17
 _M = (1 << 64) - 1
 
 
@@ -72,71 +77,126 @@ def _scramble(x: np.ndarray, key: np.uint64) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def _records(tokenizer: str, end_id: int, length: int, wide: bool, base, domain: int, shards: int, key: int, rows_out: int = 2048):
+def _codec() -> pa.Codec:
+    return pa.Codec("zstd", compression_level=1)
+
+
+def _tokens(tokenizer: str, end_id: int, arrow_id: pa.DataType, bytes_out: int = 4 << 20):
+    """chunk, doc_id, h, text -> the same with the number of ids and the ids, compressed, instead of the text."""
+    names = ["chunk", "doc_id", "h", "n", "ids"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode, codec = file_bpe(tokenizer), _codec()
+        for b in batches:
+            lo, counts, packed, size = 0, [], [], 0
+            for i, text in enumerate(b.column(3)):
+                ids = np.append(encode(text.as_py() or ""), np.uint32(end_id)).astype("<u4")
+                narrow = ids.astype("<u2") if ids.max() < 1 << 16 else ids
+                counts.append(len(ids) if narrow is not ids else -len(ids))  # below 0: four bytes each
+                packed.append(codec.compress(narrow.tobytes(), asbytes=True))
+                size += len(packed[-1])
+                if size >= bytes_out or i == b.num_rows - 1:
+                    yield pa.RecordBatch.from_arrays([*(b.column(k)[lo : i + 1] for k in range(3)), pa.array(counts, pa.int64()), pa.array(packed, pa.binary())], names=names)
+                    lo, counts, packed, size = i + 1, [], [], 0
+
+    return run
+
+
+def _records(length: int, wide: bool, base, domain: int, shards: int, key: int, rows_out: int = 1024):
+    """Documents sorted by chunk -> their sequences: shard, at, used, the record's ids compressed."""
     kind = np.dtype("<u4" if wide else "<u2")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = file_bpe(tokenizer)
-        start, room = base.value.get(TaskContext.get().partitionId(), (0, 0))
-        held: list[np.ndarray] = []
-        size = number = 0
+        codec = _codec()
+        chunk, held, size, number = None, [], 0, 0
         out: list[tuple[int, int, bytes]] = []
 
         def cut(ids: np.ndarray, used: int) -> None:
             nonlocal number
+            start, room = base.value[chunk]
             if number >= room:
-                raise ValueError("a partition has more sequences than its texts have room for: the input changed between passes")
-            out.append((start + number, used, ids.astype(kind).tobytes()))
+                raise ValueError("a chunk has more sequences than its texts have room for: the input changed between passes")
+            out.append((start + number, used, codec.compress(ids.astype(kind).tobytes(), asbytes=True)))
             number += 1
 
+        def end() -> None:
+            if size:
+                ids = np.concatenate(held)
+                cut(np.concatenate([ids, np.zeros(length - size, np.uint32)]), size)
+
         def batch() -> pa.RecordBatch:
             index = np.array([r[0] for r in out], np.int64)
             at = permuted(index, domain, key)
             shard = np.array([int(a) * shards // domain for a in at], np.int32)
-            raw = [struct.pack(HEAD, i, used) + ids for i, used, ids in out]
+            columns = [pa.array(shard), pa.array(at), pa.array(index), pa.array([r[1] for r in out], pa.int32()), pa.array([r[2] for r in out], pa.binary())]
             out.clear()
-            return pa.RecordBatch.from_arrays([pa.array(shard), pa.array(at), pa.array(raw, pa.binary())], names=["shard", "at", "record"])
+            return pa.RecordBatch.from_arrays(columns, names=["shard", "at", "index", "used", "ids"])
 
         for b in batches:
-            for text in b.column(0):
-                held += [encode(text.as_py() or ""), np.array([end_id], np.uint32)]
-                size += len(held[-2]) + 1
+            for here, n, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+                if here != chunk:
+                    end()
+                    chunk, held, size, number = here, [], 0, 0
+                width = "<u2" if n >= 0 else "<u4"
+                held.append(np.frombuffer(codec.decompress(raw.as_buffer(), abs(n) * np.dtype(width).itemsize), width))
+                size += abs(n)
                 if size >= length:
                     ids = np.concatenate(held)
                     whole = len(ids) // length * length
                     for i in range(0, whole, length):
                         cut(ids[i : i + length], length)
+                        if len(out) >= rows_out:
+                            yield batch()
                     held, size = [ids[whole:]], len(ids) - whole
-                if len(out) >= rows_out:
-                    yield batch()
-        if size:
-            ids = np.concatenate(held)
-            cut(np.concatenate([ids, np.zeros(length - size, np.uint32)]), size)
+        end()
         if out:
             yield batch()
 
     return run
 
 
+def _written(length: int, wide: bool):
+    """index, used, ids compressed -> the record."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec, size = _codec(), length * (4 if wide else 2)
+        for b in batches:
+            rows = zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2))
+            made = [struct.pack(HEAD, index, used) + codec.decompress(raw.as_buffer(), size, asbytes=True) for index, used, raw in rows]
+            yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], names=["record"])
+
+    return run
+
+
 def materialise(
-    spark: SparkSession, docs: DataFrame, path: str, tokenizer: str, length: int = 2048, end_id: int = 1, key: int = 2024, shard_text_bytes: int = 32 << 20, wide: bool = False
+    spark: SparkSession, docs: DataFrame, path: str, tokenizer: str, length: int = 2048, end_id: int = 1, key: int = 2024, shard_text_bytes: int = 32 << 20, wide: bool = False, chunk_text_bytes: int = 16 << 20
 ) -> DataFrame:
     """Writes the shards under path and returns the manifest: shard, first_slot, records, stride, file."""
-    texts = docs.select("text")
+    bound_batches(spark)
+    kind = docs.schema["doc_id"].dataType
+    texts = docs.select("doc_id", F.xxhash64("text").alias("h"), "text")
+    finest = F.pmod(F.xxhash64("doc_id", "h"), F.lit(FINEST))
     room = F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 1).alias("bytes")
-    sizes = {r["p"]: r["bytes"] for r in texts.groupBy(F.spark_partition_id().alias("p")).agg(room).collect()}  # one row per input split
-    base, domain = {}, 0
-    for p in sorted(sizes):
-        n = buckets(sizes[p], length)
-        base[p] = (domain, n)
-        domain += n
+    found = [(r["c"], r["bytes"]) for r in texts.groupBy(finest.alias("c")).agg(room).collect()]  # FINEST rows at most
     stride = HEAD_SIZE + length * (4 if wide else 2) + 1
     schema = "shard int, first_slot long, records long, stride int, file string"
-    if not domain:
+    total = sum(n for _, n in found)
+    if not total:
         return spark.createDataFrame([], schema)
-    shards = buckets(sum(sizes.values()), shard_text_bytes)
-    made = texts.mapInArrow(_records(tokenizer, end_id, length, wide, spark.sparkContext.broadcast(base), domain, shards, key), "shard int, at long, record binary")
-    dealt = made.repartitionById(shards, F.col("shard")).sortWithinPartitions("at")
+    chunks = min(FINEST, 1 << (buckets(total, chunk_text_bytes) - 1).bit_length())
+    sizes = [0] * chunks
+    for c, n in found:
+        sizes[c % chunks] += n
+    base, domain = [], 0
+    for n in sizes:
+        base.append((domain, -(-n // length)))
+        domain += base[-1][1]
+    shards = buckets(total, shard_text_bytes)
+    sent = texts.select((finest % chunks).cast("int").alias("chunk"), "doc_id", "h", "text")
+    tokens = sent.mapInArrow(_tokens(tokenizer, end_id, to_arrow_type(kind)), f"chunk int, doc_id {kind.simpleString()}, h long, n long, ids binary")
+    streams = tokens.repartitionById(chunks, F.col("chunk")).sortWithinPartitions("chunk", F.col("doc_id").asc_nulls_first(), "h").select("chunk", "n", "ids")
+    made = streams.mapInArrow(_records(length, wide, spark.sparkContext.broadcast(base), domain, shards, key), "shard int, at long, index long, used int, ids binary")
+    dealt = made.repartitionById(shards, F.col("shard")).sortWithinPartitions("at").select("index", "used", "ids").mapInArrow(_written(length, wide), "record binary")
     dealt.select(F.col("record").cast("string").alias("value")).write.mode("overwrite").option("lineSep", "\n").text(f"{path}/shards")
     written = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(f"{path}/shards").select("path", "length")
     name = F.regexp_extract("path", r"part-(\d+)", 1).cast("int")

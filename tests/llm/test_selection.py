@@ -252,7 +252,13 @@ def test_training_order(spark, messy, empty, tmp_path):
         assert zlib.crc32(ids.astype("<u4").tobytes()) == r["ids_crc32"] and len(ids) == r["n_tokens"]
     later = read_slots(spark, path, manifest, length=64, from_slot=len(rows) - 7).collect()
     assert sorted(r["slot"] for r in later) == list(range(len(rows) - 7, len(rows)))
-    # the stream in index order is the partition's documents one after another
+    # neither partitions nor their order change what lies at a slot
+    for n in (1, 8):
+        other = materialise(spark, docs.repartition(n), f"file://{tmp_path}/order{n}", BPE, length=64, shard_text_bytes=50_000, chunk_text_bytes=20_000)
+        again = materialise(spark, docs.repartition(5, "text"), f"file://{tmp_path}/again{n}", BPE, length=64, shard_text_bytes=50_000, chunk_text_bytes=20_000)
+        same = [sorted(tuple(r) for r in read_slots(spark, at, m, length=64).collect()) for at, m in ((f"file://{tmp_path}/order{n}", other), (f"file://{tmp_path}/again{n}", again))]
+        assert same[0] == same[1] and len(same[0]) >= len(rows)
+    # the stream in index order is the chunks' documents one after another
     everything = [x for r in sorted(rows, key=lambda r: r["index"]) for x in read_ids(shards[r["shard"]]["file"], r["slot"], shards[r["shard"]]["first_slot"], 64).tolist()]
     assert Counter(everything) == Counter(x for r in data for x in [*encode(r[1] or "").tolist(), 1])
     assert materialise(spark, empty[0], f"file://{tmp_path}/none", BPE).count() == 0
