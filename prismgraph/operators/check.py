@@ -10,7 +10,6 @@ from __future__ import annotations
 from collections import Counter, defaultdict
 from collections.abc import Iterator, Mapping
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,6 +19,7 @@ from prismgraph.errors import CatalogError, CycleDetected
 from prismgraph.operators.kernel import closing_node, components
 from prismgraph.plans.declaration import ChildDecl, Declaration, EdgeDecl, FieldDecl
 from prismgraph.scratch import Scratch
+from prismgraph.sources.units import struct_lists
 
 VALUE_NAMES = {"text": "Text", "bool": "Bool", "u64": "U64", "i64": "I64", "bytes": "Bytes"}
 OCCURS_NAMES = {"one": "One", "optional": "Optional", "many": "Many"}
@@ -186,21 +186,15 @@ def _lean(units: DataFrame) -> DataFrame:
     return units.select(F.col("gid").cast("string").alias("gid"), "recipe", nodes.alias("nodes"), "children", edges.alias("edges"))
 
 
-def _split(lists: pa.Array) -> tuple[np.ndarray, list[pa.Array]]:
-    """Bounds of each list, and the columns of the structs in them."""
-    ends = np.concatenate([[0], np.cumsum(np.diff(lists.offsets.to_numpy(zero_copy_only=False)) * ~np.asarray(lists.is_null()))])
-    return ends, lists.flatten().flatten()
-
-
 def _graphs(b: pa.RecordBatch) -> Iterator[tuple[str, str, Graph]]:
     """gid, recipe and graph of every row, made from flat columns."""
-    at, (keys, kinds, facts) = _split(b.column(2))
-    fact_at, fact_columns = _split(facts)
+    at, (keys, kinds, facts) = struct_lists(b.column(2))
+    fact_at, fact_columns = struct_lists(facts)
     facts = list(zip(*(c.to_pylist() for c in fact_columns)))
     nodes = list(zip(keys.to_pylist(), kinds.to_pylist(), (facts[a:z] for a, z in zip(fact_at[:-1], fact_at[1:]))))
-    child_at, columns = _split(b.column(3))
+    child_at, columns = struct_lists(b.column(3))
     children = list(zip(*(c.to_pylist() for c in columns)))
-    edge_at, columns = _split(b.column(4))
+    edge_at, columns = struct_lists(b.column(4))
     edges = list(zip(*(c.to_pylist() for c in columns)))
     for i, (gid, recipe) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist())):
         yield gid, recipe, Graph(nodes[at[i] : at[i + 1]], children[child_at[i] : child_at[i + 1]], edges[edge_at[i] : edge_at[i + 1]])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -15,7 +16,7 @@ from prismgraph import wire
 from prismgraph.functions import encode as e
 from prismgraph.functions.blake3 import blake3_many
 from prismgraph.operators.kernel import hash_graphs
-from prismgraph.sources.units import to_graph
+from prismgraph.sources.units import kernel_graphs, struct_lists
 
 DIGESTS = "mode string, policy_id binary, digests map<string,binary>, shape binary, mixed_pairs int, joint map<string,binary>, node_count bigint"
 #: Nodes hashed together at most, but for a single larger graph.
@@ -33,25 +34,27 @@ def _blake3(messages: pd.Series) -> pd.Series:
     return out
 
 
-def _hash(schema: pa.Schema, keep: list[str], dims: Mapping[str, Sequence[str]], modes: Sequence[str]):
+def _hash(keep: list[str], dims: Mapping[str, Sequence[str]], modes: Sequence[str]):
+    facts = {f.name: f.type for f in to_arrow_schema(StructType.fromDDL(DIGESTS))}
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows, held, nodes = b.to_pylist(), [], 0
-            for i, row in enumerate(rows):
-                held.append(row)
-                nodes += len(row["nodes"])
-                if nodes >= NODES_AT_ONCE or i == len(rows) - 1:
-                    yield from flush(held)
-                    held, nodes = [], 0
-
-    def flush(rows: list[dict]) -> list[pa.RecordBatch]:
-        graphs = [to_graph(r) for r in rows]
-        items = [(g, r["recipe"], wire.MODES[m], dims.get(r["recipe"]) or dims["*"]) for r, g in zip(rows, graphs) for m in modes]
-        out = []
-        for (r, m), h in zip(((r, m) for r in rows for m in modes), hash_graphs(items)):
-            facts = {"mode": m, "policy_id": h.policy_id, "digests": list(h.digests.items()), "shape": h.shape, "mixed_pairs": h.mixed_pairs, "joint": list(h.joint.items()), "node_count": h.node_count}
-            out.append({k: r[k] for k in keep} | facts)
-        return pa.Table.from_pylist(out, schema).to_batches()
+            ends, lo = struct_lists(b.column("nodes"))[0], 0
+            while lo < b.num_rows:
+                hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + NODES_AT_ONCE, "right")) - 1)
+                yield hashed(b.slice(lo, hi - lo))
+                lo = hi
+
+    def hashed(rows: pa.RecordBatch) -> pa.RecordBatch:
+        graphs = kernel_graphs(*(rows.column(c) for c in ("nodes", "children", "edges")))
+        found = hash_graphs([(g, recipe, wire.MODES[m], dims.get(recipe) or dims["*"]) for recipe, g in zip(rows.column("recipe").to_pylist(), graphs) for m in modes])
+        own = pa.array(np.repeat(np.arange(rows.num_rows), len(modes)))
+        columns = {
+            "mode": list(modes) * rows.num_rows, "policy_id": [h.policy_id for h in found], "digests": [list(h.digests.items()) for h in found], "shape": [h.shape for h in found],
+            "mixed_pairs": [h.mixed_pairs for h in found], "joint": [list(h.joint.items()) for h in found], "node_count": [h.node_count for h in found],
+        }
+        made = [pa.array(columns[name], kind) for name, kind in facts.items()]
+        return pa.RecordBatch.from_arrays([*(rows.column(c).take(own) for c in keep), *made], names=[*keep, *facts])
 
     return run
 
@@ -62,7 +65,7 @@ def hash_units(units: DataFrame, dimensions: Mapping[str, Sequence[str]], modes:
     keep = [c for c in units.columns if c not in graph] if keep is None else list(keep)
     schema = StructType([units.schema[c] for c in keep] + StructType.fromDDL(DIGESTS).fields)
     sent = units.select(*dict.fromkeys([*keep, "recipe", *graph]))
-    return sent.mapInArrow(_hash(to_arrow_schema(schema), keep, dict(dimensions), list(modes)), schema)
+    return sent.mapInArrow(_hash(keep, dict(dimensions), list(modes)), schema)
 
 
 def with_message_hash(df: DataFrame, name: str, message: Column) -> DataFrame:

@@ -10,6 +10,7 @@ import json
 from collections.abc import Iterator
 from decimal import Decimal
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -178,6 +179,33 @@ def to_graph(row: dict) -> Graph:
     return Graph(nodes, [(c["parent"], c["label"], c["ordinal"], c["child"]) for c in row["children"]], [(x["source"], x["label"], x["target"], x["role"]) for x in row["edges"]])
 
 
+def struct_lists(lists: pa.Array) -> tuple[np.ndarray, list[pa.Array]]:
+    """Bounds of each list, and the columns of the structs in them; a null list is an empty one."""
+    sizes = np.diff(lists.offsets.to_numpy(zero_copy_only=False)) * ~np.asarray(lists.is_null())
+    return np.concatenate([[0], np.cumsum(sizes)]), lists.flatten().flatten()
+
+
+def kernel_graphs(nodes: pa.Array, children: pa.Array, edges: pa.Array) -> list[Graph]:
+    """The kernel's graphs of the nested columns of some rows, made from flat columns."""
+    at, (keys, kinds, facts) = struct_lists(nodes)
+    fact_at, columns = struct_lists(facts)
+    facts = [(d, n, k, t if k == "text" else raw if k == "bytes" else int(num)) for d, n, k, t, num, raw in zip(*(c.to_pylist() for c in columns))]
+    keys, own = keys.to_pylist(), list(zip(kinds.to_pylist(), (facts[a:z] for a, z in zip(fact_at[:-1], fact_at[1:]))))
+    child_at, columns = struct_lists(children)
+    children = list(zip(*(c.to_pylist() for c in columns)))
+    edge_at, columns = struct_lists(edges)
+    edges = list(zip(*(c.to_pylist() for c in columns[:4])))
+    out = []
+    for i in range(len(at) - 1):
+        a, z = at[i], at[i + 1]
+        found = dict(zip(keys[a:z], own[a:z]))
+        if len(found) < z - a:
+            twice = next(k for n, k in enumerate(keys[a:z]) if k in keys[a : a + n])
+            raise DuplicateNode(f"node `{twice}` occurs twice")
+        out.append(Graph(found, children[child_at[i] : child_at[i + 1]], edges[edge_at[i] : edge_at[i + 1]]))
+    return out
+
+
 def _parse(schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
