@@ -1,14 +1,13 @@
 """Training-order materialisation: token sequences at global slots of a keyed permutation, in fixed-stride shards.
 
-Documents are tokenised where they lie and dealt into chunks by a hash of id and text; a chunk's documents, in the order
-of (id, hash of the text), are joined to one stream with an end token after each, which is cut into sequences of `length`
-ids. A sequence has an index: its number in the chunk after the room that a first pass over the text lengths sets aside
+Documents are dealt into chunks by a hash of id and text; a chunk's documents, in the order of (id, hash of the text),
+are tokenised and joined to one stream with an end token after each, which is cut into sequences of `length` ids. A sequence has an index: its number in the chunk after the room that a first pass over the text lengths sets aside
 for the chunks before (a byte-level token covers a byte at least). Chunks, room and order depend on the rows alone, so
 neither files nor partitions nor cores change where a sequence comes. A Feistel network with cycle-walking permutes all
 indexes. Ranges of permuted indexes are the shards: a shuffle brings each range to one task, which sorts it and writes
 one file of records of one length. Indexes without a sequence leave no gap, as slots are numbered by the order of the
 records; the manifest has the first slot of each shard. Slot s of a shard lies at byte (s - first) * stride, so a reader
-resumes anywhere with one seek. Ids are compressed on both their ways.
+resumes anywhere with one seek. Texts and ids are compressed on their ways.
 
 A record: index u64, ids in use u32, `length` ids u16 or u32, all little-endian, and one newline, which
 is the separator of Spark's text writer: it writes to any file system that Spark knows, bytes as they are.
@@ -28,7 +27,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
 
 from prismgraph.llm.common import bound_batches, buckets
 from prismgraph.llm.packing import file_bpe
@@ -78,36 +76,23 @@ def _scramble(x: np.ndarray, key: np.uint64) -> np.ndarray:
 
 
 def _codec() -> pa.Codec:
-    return pa.Codec("zstd", compression_level=1)
+    return pa.Codec("zstd", compression_level=6)
 
 
-def _tokens(tokenizer: str, end_id: int, arrow_id: pa.DataType, bytes_out: int = 4 << 20):
-    """chunk, doc_id, h, text -> the same with the number of ids and the ids, compressed, instead of the text."""
-    names = ["chunk", "doc_id", "h", "n", "ids"]
+def _pressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """chunk, doc_id, h, text -> chunk, doc_id, h, bytes of the text and the text compressed."""
+    codec = _codec()
+    for b in batches:
+        raw = [x.as_py().encode() for x in b.column(3)]
+        yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([len(x) for x in raw], pa.int64()), pa.array([codec.compress(x, asbytes=True) for x in raw], pa.binary())], names=["chunk", "doc_id", "h", "n", "packed"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, codec = file_bpe(tokenizer), _codec()
-        for b in batches:
-            lo, counts, packed, size = 0, [], [], 0
-            for i, text in enumerate(b.column(3)):
-                ids = np.append(encode(text.as_py() or ""), np.uint32(end_id)).astype("<u4")
-                narrow = ids.astype("<u2") if ids.max() < 1 << 16 else ids
-                counts.append(len(ids) if narrow is not ids else -len(ids))  # below 0: four bytes each
-                packed.append(codec.compress(narrow.tobytes(), asbytes=True))
-                size += len(packed[-1])
-                if size >= bytes_out or i == b.num_rows - 1:
-                    yield pa.RecordBatch.from_arrays([*(b.column(k)[lo : i + 1] for k in range(3)), pa.array(counts, pa.int64()), pa.array(packed, pa.binary())], names=names)
-                    lo, counts, packed, size = i + 1, [], [], 0
 
-    return run
-
-
-def _records(length: int, wide: bool, base, domain: int, shards: int, key: int, rows_out: int = 1024):
+def _records(tokenizer: str, end_id: int, length: int, wide: bool, base, domain: int, shards: int, key: int, rows_out: int = 1024):
     """Documents sorted by chunk -> their sequences: shard, at, used, the record's ids compressed."""
     kind = np.dtype("<u4" if wide else "<u2")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec()
+        encode, codec = file_bpe(tokenizer), _codec()
         chunk, held, size, number = None, [], 0, 0
         out: list[tuple[int, int, bytes]] = []
 
@@ -137,9 +122,8 @@ def _records(length: int, wide: bool, base, domain: int, shards: int, key: int,
                 if here != chunk:
                     end()
                     chunk, held, size, number = here, [], 0, 0
-                width = "<u2" if n >= 0 else "<u4"
-                held.append(np.frombuffer(codec.decompress(raw.as_buffer(), abs(n) * np.dtype(width).itemsize), width))
-                size += abs(n)
+                held += [encode(codec.decompress(raw.as_buffer(), n, asbytes=True).decode()), np.array([end_id], np.uint32)]
+                size += len(held[-2]) + 1
                 if size >= length:
                     ids = np.concatenate(held)
                     whole = len(ids) // length * length
@@ -192,10 +176,10 @@ def materialise(
         base.append((domain, -(-n // length)))
         domain += base[-1][1]
     shards = buckets(total, shard_text_bytes)
-    sent = texts.select((finest % chunks).cast("int").alias("chunk"), "doc_id", "h", "text")
-    tokens = sent.mapInArrow(_tokens(tokenizer, end_id, to_arrow_type(kind)), f"chunk int, doc_id {kind.simpleString()}, h long, n long, ids binary")
-    streams = tokens.repartitionById(chunks, F.col("chunk")).sortWithinPartitions("chunk", F.col("doc_id").asc_nulls_first(), "h").select("chunk", "n", "ids")
-    made = streams.mapInArrow(_records(length, wide, spark.sparkContext.broadcast(base), domain, shards, key), "shard int, at long, index long, used int, ids binary")
+    sent = texts.select((finest % chunks).cast("int").alias("chunk"), "doc_id", "h", F.coalesce("text", F.lit("")).alias("text"))
+    pressed = sent.mapInArrow(_pressed, f"chunk int, doc_id {kind.simpleString()}, h long, n long, packed binary")
+    streams = pressed.repartitionById(chunks, F.col("chunk")).sortWithinPartitions("chunk", F.col("doc_id").asc_nulls_first(), "h").select("chunk", "n", "packed")
+    made = streams.mapInArrow(_records(tokenizer, end_id, length, wide, spark.sparkContext.broadcast(base), domain, shards, key), "shard int, at long, index long, used int, ids binary")
     dealt = made.repartitionById(shards, F.col("shard")).sortWithinPartitions("at").select("index", "used", "ids").mapInArrow(_written(length, wide), "record binary")
     dealt.select(F.col("record").cast("string").alias("value")).write.mode("overwrite").option("lineSep", "\n").text(f"{path}/shards")
     written = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(f"{path}/shards").select("path", "length")
