@@ -17,12 +17,15 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from public_tokenizers import PATTERN
+
+from prismgraph.llm.packing import byte_ranks
 
 #: Fixed control strings of the template, and the ids they get after the vocabulary of the tokenizer file.
 START, SEP, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>"
@@ -30,6 +33,7 @@ LEARNED = "assistant"
 SEGMENT = "conv_id long, segment long, n_turns int, text string, ids binary, loss_spans binary"
 _ESCAPE, _UNESCAPE = re.compile(r"<(\\*)\|"), re.compile(r"<(\\*)\\\|")
 _TOKENIZERS: dict[str, object] = {}
+_ENCODERS: dict[str, Callable[[str], tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
 
 
 def escape(text: str) -> str:
@@ -41,6 +45,7 @@ def unescape(text: str) -> str:
 
 
 def chat_tokenizer(path: str):
+    """The file as tokenizers loads it, with the control strings: what decodes the ids, and what `encoder` agrees with."""
     if path not in _TOKENIZERS:
         from tokenizers import AddedToken, Tokenizer
 
@@ -51,6 +56,36 @@ def chat_tokenizer(path: str):
     return _TOKENIZERS[path]
 
 
+def encoder(path: str) -> Callable[[str], tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """text -> ids, first and past-the-last character of every token. The control strings, and the added tokens of the
+    file, are tokens of their own; the ids are those of tokenizers once the control strings are added to its file, and so
+    are the offsets: a token that holds a part of a character has the whole of it."""
+    if path not in _ENCODERS:
+        import tiktoken
+
+        ranks, added = byte_ranks(path)
+        after = 1 + max(max(ranks.values()), *added.values())
+        special = added | {x: after + i for i, x in enumerate((START, SEP, END))}
+        encoding = tiktoken.Encoding("chat", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
+        size = np.zeros(1 + max(special.values()), np.int64)
+        for token, i in [*ranks.items(), *((t.encode(), i) for t, i in special.items())]:
+            size[i] = len(token)
+        names = set(special)
+
+        def encode(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            ids = np.array(encoding.encode(text, allowed_special=names), np.uint32)
+            past = np.cumsum(size[ids])
+            first = past - size[ids]
+            if not text.isascii():
+                begins = (np.frombuffer(text.encode(), np.uint8) & 0xC0) != 0x80
+                character = np.cumsum(begins) - 1  # of each byte
+                first, past = character[first], character[past - 1] + 1
+            return ids, first, past
+
+        _ENCODERS[path] = encode
+    return _ENCODERS[path]
+
+
 def render(turns: list[tuple[str, str]]) -> tuple[str, np.ndarray]:
     """The text of a run of (role, text), and the spans of the texts to learn, as rows (begin, end)."""
     out: list[str] = []
@@ -73,44 +108,43 @@ def masked(spans: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
 
 
 def _format(path: str):
-    def flush(tokenizer, parts: list[pd.DataFrame]) -> pd.DataFrame:
+    def flush(encode, parts: list[pd.DataFrame]) -> pd.DataFrame:
         rows = pd.concat(parts) if len(parts) > 1 else parts[0]
         found = []
         for (null_conv, conv, segment), part in rows.groupby(["no_conv", "conv", "segment"], sort=False):
             text, spans = render(list(zip(part["role"], part["text"])))
             found.append((None if null_conv else conv, segment, len(part), text, spans))
         out = []
-        encoded = tokenizer.encode_batch([f[3] for f in found], add_special_tokens=False)
-        for (conv, segment, n, text, spans), e in zip(found, encoded):
-            offsets = np.array(e.offsets, np.int64).reshape(-1, 2)
-            tokens = masked(spans, offsets[:, 0], offsets[:, 1])
+        for conv, segment, n, text, spans in found:
+            ids, first, past = encode(text)
+            tokens = masked(spans, first, past)
             # what the mask covers of the text: the tokens' spans, cut to the turns' spans
             some = tokens[:, 1] > tokens[:, 0]
             t, s = tokens[some], spans[some]
-            cover = np.stack([np.maximum(s[:, 0], offsets[t[:, 0], 0]), np.minimum(s[:, 1], offsets[t[:, 1] - 1, 1])], 1)
+            cover = np.stack([np.maximum(s[:, 0], first[t[:, 0]]), np.minimum(s[:, 1], past[t[:, 1] - 1])], 1)
             spans_out = np.concatenate([t, cover], 1).astype("<i8")
-            out.append((conv, segment, n, text, np.array(e.ids, "<u4").tobytes(), spans_out.tobytes()))
+            out.append((conv, segment, n, text, ids.astype("<u4").tobytes(), spans_out.tobytes()))
         made = pd.DataFrame(out, columns=["conv_id", "segment", "n_turns", "text", "ids", "loss_spans"])
         made["conv_id"] = made["conv_id"].astype("Int64")
         return made
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tokenizer = chat_tokenizer(path)
+        encode = encoder(path)
         held: list[pd.DataFrame] = []
         last: tuple | None = None
         for frame in frames:
             key = list(zip(frame["no_conv"], frame["conv"], frame["segment"]))
             if held and key[0] != last:
-                yield flush(tokenizer, held)
+                yield flush(encode, held)
                 held = []
             last = key[-1]
             whole = next(i for i in range(len(key), 0, -1) if i == 1 or key[i - 2] != last) - 1  # rows before the last segment
             if whole:
-                yield flush(tokenizer, [*held, frame[:whole]])
+                yield flush(encode, [*held, frame[:whole]])
                 held = []
             held.append(frame[whole:])
         if held:
-            yield flush(tokenizer, held)
+            yield flush(encode, held)
 
     return run
 

@@ -12,7 +12,6 @@ partition without rows, or an empty table, gives none; other columns are ignored
 
 from __future__ import annotations
 
-import base64
 import json
 import re
 import zlib
@@ -36,6 +35,18 @@ def _unicode_bytes() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(0x100 + i): b for i, b in enumerate(rest)}
 
 
+def byte_ranks(path: str) -> tuple[dict[bytes, int], dict[str, int]]:
+    """Ids of the byte strings, and of the added tokens, of a byte-level BPE file in the JSON format of tokenizers."""
+    with open(path, encoding="utf-8") as f:
+        read = json.load(f)
+    added = read.get("added_tokens") or []
+    if any(t[flag] for t in added for flag in ("single_word", "lstrip", "rstrip", "normalized")):
+        raise ValueError(f"an added token of {path} is not met literally")
+    with_byte = _unicode_bytes()
+    ranks = {bytes(with_byte[c] for c in token): i for token, i in read["model"]["vocab"].items() if all(c in with_byte for c in token) and not token.startswith("<|")}
+    return ranks, {t["content"]: t["id"] for t in added}
+
+
 def byte_bpe(path: str) -> Callable[[str], np.ndarray]:
     """Ids of a byte-level BPE file in the JSON format of tokenizers, no special tokens added or recognised.
 
@@ -45,11 +56,7 @@ def byte_bpe(path: str) -> Callable[[str], np.ndarray]:
         import public_tokenizers
         import tiktoken
 
-        with open(path, encoding="utf-8") as f:
-            vocab = json.load(f)["model"]["vocab"]
-        with_byte = _unicode_bytes()
-        ranks = {bytes(with_byte[c] for c in token): i for token, i in vocab.items() if all(c in with_byte for c in token) and not token.startswith("<|")}
-        encoding = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        encoding = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=byte_ranks(path)[0], special_tokens={})
         _ENCODERS[path] = lambda text: np.array(encoding.encode_ordinary(text), dtype=np.uint32)
     return _ENCODERS[path]
 
@@ -58,11 +65,7 @@ def file_bpe(path: str) -> Callable[[str], np.ndarray]:
     """Ids as tokenizers gives them for the file without add_special_tokens: its added tokens, where a text holds them
     literally, are their own ids, and the text between them is encoded by byte_bpe."""
     if path not in _FILE_ENCODERS:
-        with open(path, encoding="utf-8") as f:
-            added = json.load(f).get("added_tokens") or []
-        if any(t[flag] for t in added for flag in ("single_word", "lstrip", "rstrip", "normalized")):
-            raise ValueError(f"an added token of {path} is not met literally")
-        plain, ids = byte_bpe(path), {t["content"]: np.array([t["id"]], dtype=np.uint32) for t in added}
+        plain, ids = byte_bpe(path), {t: np.array([i], dtype=np.uint32) for t, i in byte_ranks(path)[1].items()}
         split = re.compile("(" + "|".join(re.escape(t) for t in sorted(ids, key=len, reverse=True)) + ")").split
 
         def encode(text: str) -> np.ndarray:
