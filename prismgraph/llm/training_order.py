@@ -7,7 +7,8 @@ neither files nor partitions nor cores change where a sequence comes. A Feistel
 indexes. Ranges of permuted indexes are the shards: a shuffle brings each range to one task, which sorts it and writes
 one file of records of one length. Indexes without a sequence leave no gap, as slots are numbered by the order of the
 records; the manifest has the first slot of each shard. Slot s of a shard lies at byte (s - first) * stride, so a reader
-resumes anywhere with one seek. Texts and ids are compressed on their ways.
+resumes anywhere with one seek. Texts and ids are compressed on their ways, with the beginnings of some texts, and
+their ids, as dictionaries of 1 MiB at most; nothing but the size of what is shuffled depends on these.
 
 A record: index u64, ids in use u32, `length` ids u16 or u32, all little-endian, and one newline, which
 is the separator of Spark's text writer: it writes to any file system that Spark knows, bytes as they are.
@@ -21,10 +22,11 @@ from __future__ import annotations
 
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,6 +38,9 @@ HEAD_SIZE = struct.calcsize(HEAD)
 ROUNDS = 6
 #: The finest chunks that are counted; their number, a power of two, is lowered to what the text needs.
 FINEST = 1 << 17
+#: Texts, characters of each, and bytes of the dictionaries for compression.
+SAMPLE, SAMPLE_CHARS, DICTIONARY = 512, 4096, 1 << 20
+LEVEL = 5
 _M = (1 << 64) - 1
 
 
@@ -75,24 +80,41 @@ def _scramble(x: np.ndarray, key: np.uint64) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def _codec() -> pa.Codec:
-    return pa.Codec("zstd", compression_level=6)
+def _dictionaries(texts: DataFrame, chosen: list[int], tokenizer: str, end_id: int, kind: np.dtype) -> tuple[bytes, bytes]:
+    """What texts and ids are compressed with: parts of the texts with the chosen hashes, and their ids."""
+    o = F.xxhash64("doc_id", "h")
+    some = texts.filter(o.isin(chosen)).groupBy(o.alias("o")).agg(F.min(F.substring("text", 1, SAMPLE_CHARS)).alias("t"))
+    parts = [r["t"] for r in some.orderBy("o").collect()]  # SAMPLE rows at most
+    encode, end = file_bpe(tokenizer), np.array([end_id], np.uint32)
+    ids = b"".join(np.concatenate([encode(t), end]).astype(kind).tobytes() for t in parts)
+    return "".join(parts).encode()[:DICTIONARY], ids[:DICTIONARY]
 
 
-def _pressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """chunk, doc_id, h, text -> chunk, doc_id, h, bytes of the text and the text compressed."""
-    codec = _codec()
-    for b in batches:
-        raw = [x.as_py().encode() for x in b.column(3)]
-        yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([len(x) for x in raw], pa.int64()), pa.array([codec.compress(x, asbytes=True) for x in raw], pa.binary())], names=["chunk", "doc_id", "h", "n", "packed"])
+def _codec(dictionary: bytes) -> tuple[Callable[[bytes], bytes], Callable[[bytes], bytes]]:
+    """Functions that compress and decompress with a dictionary."""
+    with_data = {"dict_data": zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT)} if dictionary else {}
+    if with_data:
+        with_data["dict_data"].precompute_compress(level=LEVEL)
+    return zstandard.ZstdCompressor(level=LEVEL, **with_data).compress, zstandard.ZstdDecompressor(**with_data).decompress
 
 
-def _records(tokenizer: str, end_id: int, length: int, wide: bool, base, domain: int, shards: int, key: int, rows_out: int = 1024):
+def _pressed(dictionaries):
+    """chunk, doc_id, h, text -> chunk, doc_id, h and the text compressed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press, _ = _codec(dictionaries.value[0])
+        for b in batches:
+            packed = pa.array([press(x.as_py().encode()) for x in b.column(3)], pa.binary())
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], packed], names=["chunk", "doc_id", "h", "packed"])
+
+    return run
+
+
+def _records(tokenizer: str, end_id: int, length: int, kind: np.dtype, base, dictionaries, domain: int, shards: int, key: int, rows_out: int = 1024):
     """Documents sorted by chunk -> their sequences: shard, at, used, the record's ids compressed."""
-    kind = np.dtype("<u4" if wide else "<u2")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, codec = file_bpe(tokenizer), _codec()
+        encode, unpress, press = file_bpe(tokenizer), _codec(dictionaries.value[0])[1], _codec(dictionaries.value[1])[0]
         chunk, held, size, number = None, [], 0, 0
         out: list[tuple[int, int, bytes]] = []
 
@@ -101,7 +123,7 @@ def _records(tokenizer: str, end_id: int, length: int, wide: bool, base, domain:
             start, room = base.value[chunk]
             if number >= room:
                 raise ValueError("a chunk has more sequences than its texts have room for: the input changed between passes")
-            out.append((start + number, used, codec.compress(ids.astype(kind).tobytes(), asbytes=True)))
+            out.append((start + number, used, press(ids.astype(kind).tobytes())))
             number += 1
 
         def end() -> None:
@@ -118,11 +140,11 @@ def _records(tokenizer: str, end_id: int, length: int, wide: bool, base, domain:
             return pa.RecordBatch.from_arrays(columns, names=["shard", "at", "index", "used", "ids"])
 
         for b in batches:
-            for here, n, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+            for here, raw in zip(b.column(0).to_pylist(), b.column(1)):
                 if here != chunk:
                     end()
                     chunk, held, size, number = here, [], 0, 0
-                held += [encode(codec.decompress(raw.as_buffer(), n, asbytes=True).decode()), np.array([end_id], np.uint32)]
+                held += [encode(unpress(raw.as_buffer()).decode()), np.array([end_id], np.uint32)]
                 size += len(held[-2]) + 1
                 if size >= length:
                     ids = np.concatenate(held)
@@ -139,14 +161,14 @@ def _records(tokenizer: str, end_id: int, length: int, wide: bool, base, domain:
     return run
 
 
-def _written(length: int, wide: bool):
+def _written(dictionaries):
     """index, used, ids compressed -> the record."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec, size = _codec(), length * (4 if wide else 2)
+        _, unpress = _codec(dictionaries.value[1])
         for b in batches:
             rows = zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2))
-            made = [struct.pack(HEAD, index, used) + codec.decompress(raw.as_buffer(), size, asbytes=True) for index, used, raw in rows]
+            made = [struct.pack(HEAD, index, used) + unpress(raw.as_buffer()) for index, used, raw in rows]
             yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], names=["record"])
 
     return run
@@ -161,7 +183,9 @@ def materialise(
     texts = docs.select("doc_id", F.xxhash64("text").alias("h"), "text")
     finest = F.pmod(F.xxhash64("doc_id", "h"), F.lit(FINEST))
     room = F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 1).alias("bytes")
-    found = [(r["c"], r["bytes"]) for r in texts.groupBy(finest.alias("c")).agg(room).collect()]  # FINEST rows at most
+    least = F.min(F.when(F.octet_length("text") > 0, F.xxhash64("doc_id", "h"))).alias("least")
+    counted = texts.groupBy(finest.alias("c")).agg(room, least).collect()  # FINEST rows at most
+    found = [(r["c"], r["bytes"]) for r in counted]
     stride = HEAD_SIZE + length * (4 if wide else 2) + 1
     schema = "shard int, first_slot long, records long, stride int, file string"
     total = sum(n for _, n in found)
@@ -177,10 +201,13 @@ def materialise(
         domain += base[-1][1]
     shards = buckets(total, shard_text_bytes)
     sent = texts.select((finest % chunks).cast("int").alias("chunk"), "doc_id", "h", F.coalesce("text", F.lit("")).alias("text"))
-    pressed = sent.mapInArrow(_pressed, f"chunk int, doc_id {kind.simpleString()}, h long, n long, packed binary")
-    streams = pressed.repartitionById(chunks, F.col("chunk")).sortWithinPartitions("chunk", F.col("doc_id").asc_nulls_first(), "h").select("chunk", "n", "packed")
-    made = streams.mapInArrow(_records(tokenizer, end_id, length, wide, spark.sparkContext.broadcast(base), domain, shards, key), "shard int, at long, index long, used int, ids binary")
-    dealt = made.repartitionById(shards, F.col("shard")).sortWithinPartitions("at").select("index", "used", "ids").mapInArrow(_written(length, wide), "record binary")
+    chosen = sorted(r["least"] for r in counted if r["least"] is not None)[:SAMPLE]
+    ids_kind = np.dtype("<u4" if wide else "<u2")
+    dictionaries = spark.sparkContext.broadcast(_dictionaries(texts, chosen, tokenizer, end_id, ids_kind))
+    pressed = sent.mapInArrow(_pressed(dictionaries), f"chunk int, doc_id {kind.simpleString()}, h long, packed binary")
+    streams = pressed.repartitionById(chunks, F.col("chunk")).sortWithinPartitions("chunk", F.col("doc_id").asc_nulls_first(), "h").select("chunk", "packed")
+    made = streams.mapInArrow(_records(tokenizer, end_id, length, ids_kind, spark.sparkContext.broadcast(base), dictionaries, domain, shards, key), "shard int, at long, index long, used int, ids binary")
+    dealt = made.repartitionById(shards, F.col("shard")).sortWithinPartitions("at").select("index", "used", "ids").mapInArrow(_written(dictionaries), "record binary")
     dealt.select(F.col("record").cast("string").alias("value")).write.mode("overwrite").option("lineSep", "\n").text(f"{path}/shards")
     written = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(f"{path}/shards").select("path", "length")
     name = F.regexp_extract("path", r"part-(\d+)", 1).cast("int")
