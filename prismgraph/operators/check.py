@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from prismgraph import wire
 from prismgraph.errors import CatalogError, CycleDetected
 from prismgraph.operators.kernel import closing_node, components
+from prismgraph.operators.sizes import large_graphs
 from prismgraph.plans.declaration import ChildDecl, Declaration, EdgeDecl, FieldDecl
 from prismgraph.scratch import Scratch
 from prismgraph.sources.units import struct_lists
@@ -246,14 +247,23 @@ def _cyclic(key: tuple, rows: pa.Table) -> pa.Table:
 
 
 def cyclic_nodes(edges: DataFrame) -> DataFrame:
-    """gid, key of the nodes that lie on a cycle of edges (gid, s, t), for graphs of very many edges.
+    """gid, key of the nodes that lie on a cycle of edges (gid, s, t). Edges that lack a graph or an end don't count.
 
-    Rounds of joins trim what nothing comes out of, or nothing goes into; of the edges that are left, those on or between
-    cycles, each graph's components are found in one task. A round is one anti-join each way, and there are as many as the
-    longest path beside the cycles has nodes."""
+    A graph of up to EDGES_IN_TASK edges goes to one task as it is. In larger ones rounds of joins first trim what nothing
+    comes out of, or nothing goes into, until the edges on or between cycles are left. A round is one semi-join each way,
+    and there are as many as the longest path beside the cycles has nodes."""
     kinds = {f.name: f.dataType.simpleString() for f in edges.schema}
     scratch = Scratch(edges.sparkSession, "cycles")
-    now, at = scratch.write(edges.select("gid", "s", "t").distinct(), "0"), 0
+    whole = scratch.write(edges.select("gid", "s", "t").dropna().distinct(), "edges")
+    large = large_graphs(whole, scratch)
+    if large is not None:
+        whole = whole.join(large, "gid", "left_anti").unionByName(_trimmed(whole.join(large, "gid", "left_semi"), scratch))
+    return whole.groupBy("gid").applyInArrow(_cyclic, f"gid {kinds['gid']}, key {kinds['s']}")
+
+
+def _trimmed(now: DataFrame, scratch: Scratch) -> DataFrame:
+    """The edges on or between cycles."""
+    now, at = scratch.write(now, "0"), 0
     size = now.count()
     while size:
         inner = now.join(now.select("gid", F.col("s").alias("t")).distinct(), ["gid", "t"], "left_semi")
@@ -264,7 +274,7 @@ def cyclic_nodes(edges: DataFrame) -> DataFrame:
         if left == size:
             break
         size = left
-    return now.select("gid", "s", "t").groupBy("gid").applyInArrow(_cyclic, f"gid {kinds['gid']}, key {kinds['s']}")
+    return now.select("gid", "s", "t")
 
 
 # --- inference -----------------------------------------------------------------------------------------------------

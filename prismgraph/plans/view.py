@@ -16,6 +16,7 @@ from prismgraph import wire
 from prismgraph.errors import ViewError
 from prismgraph.functions import encode as e
 from prismgraph.functions.blake3 import blake3
+from prismgraph.operators.sizes import large_graphs
 from prismgraph.scratch import Scratch
 
 # Root selectors in their order.
@@ -194,12 +195,45 @@ def apply_view(view: View, units: DataFrame, check: bool = True) -> DataFrame:
     return out.drop("problem")
 
 
+def _reached(key: tuple, edges: pa.Table, roots: pa.Table) -> pa.Table:
+    """The keys of one graph that its roots reach."""
+    follow: dict = {}
+    for s, t in zip(edges["s"].to_pylist(), edges["t"].to_pylist()):
+        follow.setdefault(s, []).append(t)
+    todo = roots["key"].to_pylist()
+    seen = set(todo)
+    while todo:
+        fresh = [t for t in follow.pop(todo.pop(), ()) if t not in seen]
+        seen.update(fresh)
+        todo += fresh
+    kinds = roots.schema
+    return pa.table({"gid": pa.array([key[0].as_py()] * len(seen), kinds.field("gid").type), "key": pa.array(list(seen), kinds.field("key").type)})
+
+
 def reachable(edges: DataFrame, roots: DataFrame) -> DataFrame:
-    """gid, key reached from roots (gid, key) over edges (gid, s, t), for graphs too large for one row: a join per step of
+    """gid, key reached from roots (gid, key) over edges (gid, s, t), the roots included. Edges and roots that lack a graph
+    or a key don't count.
+
+    A graph of up to EDGES_IN_TASK edges and roots is searched in one task; larger ones take a join per step of
     the frontier, which an anti-join keeps free of nodes already seen."""
     scratch = Scratch(edges.sparkSession, "reach")
-    edges = scratch.write(edges.select("gid", "s", "t").distinct(), "edges")
-    seen = new = scratch.write(roots.select("gid", "key").distinct(), "0")
+    edges = scratch.write(edges.select("gid", "s", "t").dropna().distinct(), "edges")
+    roots = scratch.write(roots.select("gid", "key").dropna().distinct(), "roots")
+    large = large_graphs(edges.select("gid").unionByName(roots.select("gid")), scratch)
+    if large is None:
+        return _searched(edges, roots)
+    near = _searched(edges.join(large, "gid", "left_anti"), roots.join(large, "gid", "left_anti"))
+    return near.unionByName(_stepped(edges.join(large, "gid", "left_semi"), roots.join(large, "gid", "left_semi"), scratch))
+
+
+def _searched(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in roots.schema)
+    return edges.groupBy("gid").cogroup(roots.groupBy("gid")).applyInArrow(_reached, schema)
+
+
+def _stepped(edges: DataFrame, roots: DataFrame, scratch: Scratch) -> DataFrame:
+    edges = scratch.write(edges, "far")
+    seen = new = scratch.write(roots, "0")
     at = 0
     while not new.isEmpty():
         ahead = new.withColumnRenamed("key", "s").join(edges, ["gid", "s"]).select("gid", F.col("t").alias("key")).distinct()
