@@ -13,9 +13,11 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from prismgraph import wire
+from prismgraph.errors import DuplicateNode
 from prismgraph.functions import encode as e
 from prismgraph.functions.blake3 import blake3_many
-from prismgraph.operators.kernel import hash_graphs
+from prismgraph.operators.forms import form_parts, read_form
+from prismgraph.operators.kernel import Graph, hash_graphs
 from prismgraph.sources.units import kernel_graphs, struct_lists
 
 DIGESTS = "mode string, policy_id binary, digests map<string,binary>, shape binary, mixed_pairs int, joint map<string,binary>, node_count bigint"
@@ -30,7 +32,10 @@ def blake3_column(messages: Column) -> Column:
 def _blake3(messages: pd.Series) -> pd.Series:
     some = messages.notna()
     out = pd.Series([None] * len(messages), dtype=object)
-    out[some.to_numpy()] = blake3_many([bytes(m) for m in messages[some]])
+    distinct: dict[bytes, int] = {}  # rows of one class say the same
+    at = [distinct.setdefault(bytes(m), len(distinct)) for m in messages[some]]
+    digests = blake3_many(list(distinct))
+    out[some.to_numpy()] = [digests[k] for k in at]
     return out
 
 
@@ -68,6 +73,33 @@ def hash_units(units: DataFrame, dimensions: Mapping[str, Sequence[str]], modes:
     return sent.mapInArrow(_hash(keep, dict(dimensions), list(modes)), schema)
 
 
+def _hash_forms(dims: Mapping[str, Sequence[str]], facets: Sequence[Sequence[str]] | None):
+    facts = {f.name: f.type for f in to_arrow_schema(StructType.fromDDL(DIGESTS))}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for forms in form_parts(batches):
+            items = []
+            for form in forms:
+                recipe, nodes, children, edges = read_form(form)
+                g = Graph({k: (kind, own) for k, kind, own in nodes}, children, edges)
+                if len(g.nodes) < len(nodes):
+                    raise DuplicateNode(f"node `{next(k for i, (k, *_) in enumerate(nodes) if any(k == x[0] for x in nodes[:i]))}` occurs twice")
+                items.append((g, recipe, "free", dims.get(recipe) or dims["*"]))
+            found = hash_graphs(items, facets=facets)
+            columns = {
+                "form": forms, "mode": ["shape"] * len(forms), "policy_id": [h.policy_id for h in found], "digests": [list(h.digests.items()) for h in found], "shape": [h.shape for h in found],
+                "mixed_pairs": [h.mixed_pairs for h in found], "joint": [list(h.joint.items()) for h in found], "node_count": [h.node_count for h in found],
+            }
+            yield pa.RecordBatch.from_arrays([pa.array(c, facts.get(name, pa.string())) for name, c in columns.items()], names=list(columns))
+
+    return run
+
+
+def hash_forms(forms: DataFrame, dimensions: Mapping[str, Sequence[str]], facets: Sequence[Sequence[str]] | None = None) -> DataFrame:
+    """form and its digests under free keys, the joint ones of `facets` alone if they are given. See `hash_units`."""
+    return forms.select("form").mapInArrow(_hash_forms(dict(dimensions), facets), f"form string, {DIGESTS}")
+
+
 def with_message_hash(df: DataFrame, name: str, message: Column) -> DataFrame:
     return df.withColumn(name, blake3_column(message))
 
