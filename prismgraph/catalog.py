@@ -140,12 +140,12 @@ STRICT = Declaration(
 
 def check_order(spark: SparkSession, sf: str) -> DataFrame:
     """Orders against a declaration of exactly one line each."""
-    units = Scratch(spark, "checked").write(_orders(spark, sf).withColumn("gid", F.col("name")), "units")
+    units = _orders(spark, sf).withColumn("gid", F.col("name"))
     return check_units(units, {STRICT.recipe: STRICT}).select(F.col("gid").alias("name"), F.element_at(F.split("at", wire.SEPARATOR), 3).alias("at"), "problem")
 
 
 def infer_order(spark: SparkSession, sf: str) -> DataFrame:
-    units = Scratch(spark, "inferred").write(_orders(spark, sf).withColumn("gid", F.col("name")), "units")
+    units = _orders(spark, sf).withColumn("gid", F.col("name"))
     made = infer_declaration(units, "trade.order/1")
     rows = [(k, f.name, "+".join(f.dimensions), f.value, f.occurs) for k, fs in made.kinds for f in fs]
     rows += [(x.parents[0], x.label, "child", x.children[0], x.shape) for x in made.children]

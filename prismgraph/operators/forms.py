@@ -59,10 +59,10 @@ def read_form(form: str) -> tuple[str, list[tuple], list[tuple], list[tuple]]:
     """recipe, nodes (key, kind, facts), children (parent, label, ordinal, child) and edges (source, label, target, role, number
     of facts on it); keys are positions where the form has none. A fact is (dimension, name, kind, value or None)."""
     x = json.loads(form)
-    fact = lambda f: (f["d"], f["n"], f["k"], f.get("t") if f["k"] == "text" else base64.b64decode(f["b"]) if "b" in f else f.get("v"))
+    fact = lambda f: (f.get("d"), f.get("n"), f.get("k"), f.get("t") if f.get("k") == "text" else base64.b64decode(f["b"]) if "b" in f else f.get("v"))
     nodes = [(n.get("i", i), n.get("k"), [fact(f) for f in n.get("f", ())]) for i, n in enumerate(x.get("nodes", ()), 1)]
-    children = [(c.get("p"), c["l"], c["o"], c.get("c")) for c in x.get("children", ())]
-    return x.get("recipe"), nodes, children, [(e.get("s"), e["l"], e.get("t"), e["r"], e["n"]) for e in x.get("edges", ())]
+    children = [(c.get("p"), c.get("l"), c.get("o"), c.get("c")) for c in x.get("children", ())]
+    return x.get("recipe"), nodes, children, [(e.get("s"), e.get("l"), e.get("t"), e.get("r"), e.get("n")) for e in x.get("edges", ())]
 
 
 def form_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[list[str]]:

@@ -1,11 +1,14 @@
 """Forms: what differs in keys alone is worked out once, with the same results as graph by graph."""
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from prismgraph.catalog import _hashed
-from prismgraph.operators.forms import with_form
+from prismgraph.catalog import STRICT, _hashed
+from prismgraph.operators import check
+from prismgraph.operators.forms import read_form, with_form
 from prismgraph.operators.hashing import hash_units
 from prismgraph.sources.producers import order_units
+from prismgraph.wire import SEPARATOR
 
 DIMS = ("structure", "names", "constants")
 
@@ -38,3 +41,17 @@ def test_graphs_whose_keys_count_keep_them(spark):
     units = orders(spark, 1).filter("name = '1'")
     twice = units.withColumn("nodes", F.concat("nodes", "nodes"))
     assert "trade.line" in with_form(twice).first()["form"] and "trade.line" not in with_form(units).first()["form"]
+
+
+def test_units_that_differ_in_keys_and_values_are_checked_and_read_once(spark, monkeypatch):
+    units = orders(spark, 6).withColumn("gid", F.col("name"))
+    assert check._skeletons(units).select("form").distinct().count() == 2  # two lines, or none
+    forms, read = [r["form"] for r in check._skeletons(units).collect()], []
+    monkeypatch.setattr(check, "read_form", lambda form: read.append(form) or read_form(form))
+    batch = pa.RecordBatch.from_pydict({"gid": [str(i) for i in range(18)], "keys": [["a", "b", "c"]] * 18, "form": forms})
+    assert sum(b.num_rows for b in check._check({"trade.order/1": STRICT})(iter([batch]))) == 18 and len(read) == 2
+    declared = check.infer_declaration(units, "trade.order/1")
+    assert declared == check.infer_declaration(units.filter("o_orderkey < 4"), "trade.order/1") and declared.children[0].shape == "set"
+    assert check.check_units(units, {"trade.order/1": STRICT}).count() == 18
+    found = check.check_units(units.filter("o_orderkey in (1, 303)"), {"trade.order/1": STRICT}).collect()
+    assert sorted((r["gid"], r["at"].split(SEPARATOR)[-1]) for r in found) == [("1", "1"), ("303", "303")]
