@@ -15,7 +15,7 @@ from pyspark.sql.types import StructType
 from prismgraph import wire
 from prismgraph.errors import CatalogError, DuplicateNode, EdgeFields, MissingNode
 from prismgraph.plans.declaration import ChildDecl, Declaration, FieldDecl
-from prismgraph.sources.units import LIMITS, UNIT, name
+from prismgraph.sources.units import LIMITS, UNITS_AT_ONCE, UNIT, name
 
 
 def fact(dimension: str, field: str, kind: str, value) -> dict:
@@ -119,15 +119,18 @@ def json_unit(text: str, shown: str, owner: str, population: str = "document") -
 
 def _documents(schema: pa.Schema, population: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = [json_unit(text, shown, owner, population) for text, shown, owner in zip(*(b.column(i).to_pylist() for i in range(3)))]
-            yield from pa.Table.from_pylist(rows, schema).to_batches()
+        for whole in batches:
+            for lo in range(0, whole.num_rows, UNITS_AT_ONCE):
+                b = whole.slice(lo, UNITS_AT_ONCE)
+                rows = [json_unit(text, shown, owner, population) for text, shown, owner in zip(*(b.column(i).to_pylist() for i in range(3)))]
+                yield from pa.Table.from_pylist(rows, schema).to_batches()
 
     return run
 
 
 def json_units(rows: DataFrame, text: Column, shown: Column, owner: str, population: str = "document") -> DataFrame:
-    """A unit for each row whose text is a JSON document; rows without a text have none."""
+    """A unit for each row whose text is a JSON document; rows without a text have none. A small file of many documents would
+    be one task, so they are dealt to every core."""
     schema = StructType.fromDDL(UNIT)
     sent = rows.filter(text.isNotNull()).select(text.cast("string").alias("text"), shown.cast("string").alias("shown"), F.lit(owner).alias("owner"))
-    return sent.mapInArrow(_documents(to_arrow_schema(schema), population), schema)
+    return sent.repartition(rows.sparkSession.sparkContext.defaultParallelism).mapInArrow(_documents(to_arrow_schema(schema), population), schema)
