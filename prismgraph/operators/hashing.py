@@ -22,7 +22,7 @@ from prismgraph.sources.units import kernel_graphs, struct_lists
 
 DIGESTS = "mode string, policy_id binary, digests map<string,binary>, shape binary, mixed_pairs int, joint map<string,binary>, node_count bigint"
 #: Nodes hashed together at most, but for a single larger graph.
-NODES_AT_ONCE = 20_000
+NODES_AT_ONCE = 5_000
 
 
 def blake3_column(messages: Column) -> Column:
