@@ -18,6 +18,7 @@ from prismgraph.functions import encode as e
 from prismgraph.functions.blake3 import blake3_many
 from prismgraph.operators.forms import form_parts, read_form
 from prismgraph.operators.kernel import Graph, hash_graphs
+from prismgraph.operators.stars import FEWEST, hash_stars, read_stars
 from prismgraph.sources.units import kernel_graphs, struct_lists
 
 DIGESTS = "mode string, policy_id binary, digests map<string,binary>, shape binary, mixed_pairs int, joint map<string,binary>, node_count bigint"
@@ -39,20 +40,31 @@ def _blake3(messages: pd.Series) -> pd.Series:
     return out
 
 
-def _hash(keep: list[str], dims: Mapping[str, Sequence[str]], modes: Sequence[str]):
+def _hash(keep: list[str], dims: Mapping[str, Sequence[str]], modes: Sequence[str], facets: Sequence[Sequence[str]] | None):
     facts = {f.name: f.type for f in to_arrow_schema(StructType.fromDDL(DIGESTS))}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ends, lo = struct_lists(b.column("nodes"))[0], 0
-            while lo < b.num_rows:
-                hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + NODES_AT_ONCE, "right")) - 1)
-                yield hashed(b.slice(lo, hi - lo))
-                lo = hi
-
-    def hashed(rows: pa.RecordBatch) -> pa.RecordBatch:
+            if "shape" in modes and b.num_rows >= FEWEST:
+                found = read_stars(b)
+                if found[0].sum() >= FEWEST:
+                    stars, made = hash_stars(found, b.num_rows, dims, facets, facts)
+                    own = b.take(pa.array(stars))
+                    yield pa.RecordBatch.from_arrays([*(own.column(c) for c in keep), *(made[name] for name in facts)], names=[*keep, *facts])
+                    yield from parts(own, [m for m in modes if m != "shape"])
+                    b = b.filter(pa.array(~found[0]))
+            yield from parts(b, modes)
+
+    def parts(b: pa.RecordBatch, modes: Sequence[str]) -> Iterator[pa.RecordBatch]:
+        ends, lo = struct_lists(b.column("nodes"))[0], 0
+        while modes and lo < b.num_rows:
+            hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + NODES_AT_ONCE, "right")) - 1)
+            yield hashed(b.slice(lo, hi - lo), modes)
+            lo = hi
+
+    def hashed(rows: pa.RecordBatch, modes: Sequence[str]) -> pa.RecordBatch:
         graphs = kernel_graphs(*(rows.column(c) for c in ("nodes", "children", "edges")))
-        found = hash_graphs([(g, recipe, wire.MODES[m], dims.get(recipe) or dims["*"]) for recipe, g in zip(rows.column("recipe").to_pylist(), graphs) for m in modes])
+        found = hash_graphs([(g, recipe, wire.MODES[m], dims.get(recipe) or dims["*"]) for recipe, g in zip(rows.column("recipe").to_pylist(), graphs) for m in modes], facets=facets)
         own = pa.array(np.repeat(np.arange(rows.num_rows), len(modes)))
         columns = {
             "mode": list(modes) * rows.num_rows, "policy_id": [h.policy_id for h in found], "digests": [list(h.digests.items()) for h in found], "shape": [h.shape for h in found],
@@ -64,13 +76,14 @@ def _hash(keep: list[str], dims: Mapping[str, Sequence[str]], modes: Sequence[st
     return run
 
 
-def hash_units(units: DataFrame, dimensions: Mapping[str, Sequence[str]], modes: Sequence[str] = ("identity", "shape"), keep: Sequence[str] | None = None) -> DataFrame:
-    """A row per unit and mode with its digests. `dimensions` are those that each recipe fills; "*" stands for others."""
+def hash_units(units: DataFrame, dimensions: Mapping[str, Sequence[str]], modes: Sequence[str] = ("identity", "shape"), keep: Sequence[str] | None = None, facets: Sequence[Sequence[str]] | None = None) -> DataFrame:
+    """A row per unit and mode with its digests. `dimensions` are those that each recipe fills; "*" stands for others. Joint
+    digests are those of `facets` alone if they are given."""
     graph = ("nodes", "children", "edges")
     keep = [c for c in units.columns if c not in graph] if keep is None else list(keep)
     schema = StructType([units.schema[c] for c in keep] + StructType.fromDDL(DIGESTS).fields)
     sent = units.select(*dict.fromkeys([*keep, "recipe", *graph]))
-    return sent.mapInArrow(_hash(keep, dict(dimensions), list(modes)), schema)
+    return sent.mapInArrow(_hash(keep, dict(dimensions), list(modes), facets), schema)
 
 
 def _hash_forms(dims: Mapping[str, Sequence[str]], facets: Sequence[Sequence[str]] | None):
