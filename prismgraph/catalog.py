@@ -37,8 +37,8 @@ def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def _orders(spark: SparkSession, sf: str) -> DataFrame:
-    return p.order_units(_table(spark, sf, "orders"), _table(spark, sf, "lineitem"))
+def _orders(spark: SparkSession, sf: str, **only) -> DataFrame:
+    return p.order_units(_table(spark, sf, "orders"), _table(spark, sf, "lineitem"), **only)
 
 
 def _filed(units: DataFrame) -> DataFrame:
@@ -61,7 +61,7 @@ def _hashed(units: DataFrame, dimensions: dict | None = None, facets: list[tuple
 def _hashed_orders(spark: SparkSession, sf: str, dims: tuple[str, ...] = DIMENSIONS["trade.order/1"], facets: list[tuple[str, ...]] | None = None) -> DataFrame:
     """Stored digests of orders under free keys. Nearly every order is another form, and all are stars: whole batches are
     hashed as columns, in the tasks that put the orders together."""
-    return Scratch(spark, "hashed").write(hash_units(_filed(_orders(spark, sf)), {"*": dims}, ("shape",), facets=facets), "digests")
+    return Scratch(spark, "hashed").write(hash_units(_filed(_orders(spark, sf, dimensions=dims, numbered=False)), {"*": dims}, ("shape",), facets=facets), "digests")
 
 
 def _classes(found: tuple[DataFrame, DataFrame]) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -63,18 +65,27 @@ def unit(recipe: str, population: str, name: Column, key: Column, **graph: Colum
     ]
 
 
-def order_units(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
+def order_units(orders: DataFrame, lineitem: DataFrame, dimensions: Sequence[str] = ("structure", "names", "constants"), numbered: bool = True) -> DataFrame:
     """An order and its lines, an unordered set. structure: status, return flag, line status; names: priority; constants:
-    quantity in hundredths."""
+    quantity in hundredths. Facts of other than these dimensions are left out; lines that needn't be `numbered` in a fixed
+    order, as where keys are free, come without the columns that only order them."""
     root = node_key("trade.order", "orders", F.col("o_orderkey"))
-    line = node_key("trade.line", F.concat(F.lit("order:"), F.col("o_orderkey").cast("string")), F.col("nth"))
-    lines = lineitem.select(F.col("l_orderkey").alias("o_orderkey"), "l_returnflag", "l_linestatus", "l_quantity", F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag", "l_linestatus", "l_extendedprice", "l_shipdate").alias("place"))
-    per = lines.groupBy("o_orderkey").agg(F.sort_array(F.collect_list(F.struct("place", "l_returnflag", "l_linestatus", "l_quantity"))).alias("ls"))
+    own = {"structure": ("l_returnflag", "l_linestatus"), "constants": ("l_quantity",)}
+    told = [c for d, columns in own.items() if d in dimensions for c in columns]
+    place = ("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag", "l_linestatus", "l_extendedprice", "l_shipdate")
+    line = F.struct(*([F.struct(*place).alias("place")] if numbered else []), *(told or ["l_linenumber"]))
+    lines = F.collect_list(line)
+    per = lineitem.withColumnRenamed("l_orderkey", "o_orderkey").groupBy("o_orderkey").agg((F.sort_array(lines) if numbered else lines).alias("ls"))
     joined = orders.join(per, "o_orderkey", "left").withColumn("ls", F.coalesce("ls", F.expr("array()").cast(per.schema["ls"].dataType)))
-    key = lambda i: F.concat(F.lit(f"entity:trade.line{SEP}order:"), F.col("o_orderkey").cast("string"), F.lit(SEP), i.cast("string"))
-    as_node = lambda x, i: node(key(i), "line", fact("structure", "flag", "text", x["l_returnflag"]), fact("structure", "state", "text", x["l_linestatus"]), fact("constants", "quantity", "i64", F.round(x["l_quantity"] * 100).cast("long")))
-    del line
-    top = node(root, "order", fact("structure", "status", "text", F.col("o_orderstatus")), fact("names", "priority", "text", F.col("o_orderpriority")))
+    joined = joined.withColumn("_stem", F.concat(F.lit(f"entity:trade.line{SEP}order:"), F.col("o_orderkey").cast("string"), F.lit(SEP)))  # once, not for each line
+    key = lambda i: F.concat(F.col("_stem"), i.cast("string"))
+    of = lambda d, *made: made if d in dimensions else ()
+
+    def as_node(x: Column, i: Column) -> Column:
+        shown = of("structure", lambda: fact("structure", "flag", "text", x["l_returnflag"]), lambda: fact("structure", "state", "text", x["l_linestatus"]))
+        return node(key(i), "line", *(made() for made in (*shown, *of("constants", lambda: fact("constants", "quantity", "i64", F.round(x["l_quantity"] * 100).cast("long"))))))
+
+    top = node(root, "order", *of("structure", fact("structure", "status", "text", F.col("o_orderstatus"))), *of("names", fact("names", "priority", "text", F.col("o_orderpriority"))))
     nodes = F.concat(F.array(top), F.transform("ls", as_node))
     children = F.transform("ls", lambda x, i: child(root, "line", F.lit(0), key(i)))
     return joined.select(*unit("trade.order/1", "order", F.col("o_orderkey"), graph_key("trade.order", "orders", F.col("o_orderkey"), "order"), nodes=nodes, children=children, edges=no_edges()), "o_orderkey", "o_orderstatus")

@@ -12,6 +12,7 @@ from pyspark.sql.types import StructType
 from prismgraph.functions.blake3 import blake3_grids, blake3_many
 from prismgraph.operators import hashing
 from prismgraph.operators.stars import _by_bytes, read_stars
+from prismgraph.sources.producers import order_units
 from prismgraph.sources.units import GRAPH
 
 
@@ -86,3 +87,16 @@ def test_digests_that_begin_alike_are_put_in_order():
     some = np.zeros((1, 3, 32), np.uint8)
     some[0, :, 31] = 2, 0, 1
     assert _by_bytes(some)[0, :, 31].tolist() == [0, 1, 2]
+
+
+def test_orders_whose_lines_are_not_numbered_have_the_same_digests(spark):
+    tops = spark.createDataFrame([(i, "FO"[i % 2], "1-URGENT") for i in range(5)], "o_orderkey long, o_orderstatus string, o_orderpriority string")
+    lines = spark.createDataFrame(
+        [(i, n, 1, 1, float(n % 3), "AN"[n % 2], "O", 1.0, "1990-01-01") for i in range(1, 5) for n in range(i)],
+        "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, l_returnflag string, l_linestatus string, l_extendedprice double, l_shipdate string",
+    )
+    for dims in (("structure",), ("names",), ("structure", "constants")):
+        made = order_units(tops, lines, dimensions=dims, numbered=False)
+        assert "l_partkey" not in made._jdf.queryExecution().optimizedPlan().toString().split("Aggregate")[1].splitlines()[0]
+        found = [sorted(map(str, hashing.hash_units(u, {"*": dims}, ("shape",)).select("name", "digests", "mixed_pairs", "joint").collect())) for u in (made, order_units(tops, lines))]
+        assert found[0] == found[1]
